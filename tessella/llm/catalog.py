@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, fingerprint, mixing, oracle, simhash, urlfilter
+from tessella.llm import bpe, chat, fingerprint, lm, mixing, oracle, simhash, urlfilter
 from tessella.session import materialize
 from tessella.sources.tables import load
 
@@ -52,6 +52,26 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "source", "block", "n_tokens")
 
 
+def _public(name: str) -> str:
+    """A file of the public tokenizers; they are installed on every worker, at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's byte-level BPE ids, and of what they decode to."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.mapInArrow(bpe.digester(_public("byte_bpe_50k.tiktoken")), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document, learnt from nine tenths of them."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 != 0, F.lit(True)).alias("train"))
+    scored = lm.score_documents(docs, "train", lm.vocabulary(_public("piece_bpe_32k.model")), kind="lang")
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical digests of every document and of its edited text."""
     least = -(2**63)
