@@ -41,7 +41,8 @@ DIM = 4
 SIZES = (3, 4, 5, 6)
 PER_CLASS = 1500
 MAX_CHARS = 12_000
-EPOCHS = 10
+#: Gradient steps, whatever the sample's size.
+STEPS = 480
 RATE = 0.5
 #: Runs without weight that every bag holds, so that a few runs do not speak as loud as many.
 PRIOR = 64.0
@@ -100,7 +101,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logits, -50, 50)))
 
 
-def train(texts: list[str | None], labels: list[int], dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 1) -> Model:
+def train(texts: list[str | None], labels: list[int], dim: int = DIM, steps: int = STEPS, rate: float = RATE, seed: int = 1) -> Model:
     """Embeddings and softmax, trained together on bags of subwords."""
     y = np.array(labels, dtype=np.int64)
     if len(set(labels)) < 2:
@@ -111,29 +112,30 @@ def train(texts: list[str | None], labels: list[int], dim: int = DIM, epochs: in
     emb = rng.uniform(-1 / dim, 1 / dim, (dim, BUCKETS))
     out, bias = rng.uniform(-1 / dim, 1 / dim, (dim, 2)), np.zeros(2)
     sq_emb, sq_out, sq_bias = np.full(emb.shape, 1e-8), np.full(out.shape, 1e-8), np.full(2, 1e-8)
-    for epoch in range(epochs):
-        step = rate * (1 - epoch / epochs)
-        order = rng.permutation(len(y))
-        for at in range(0, len(order), BATCH):
-            part = order[at : at + BATCH]
-            ids, share = np.concatenate([bags[k][0] for k in part]), np.concatenate([bags[k][1] for k in part])
-            row = np.repeat(np.arange(len(part)), [len(bags[k][0]) for k in part])
-            mean = np.stack([np.bincount(row, weights=share * emb[d, ids], minlength=len(part)) for d in range(dim)], axis=1)
-            odds = mean @ out + bias
-            p = np.exp(odds - odds.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(part)), y[part]] -= 1
-            p /= len(part)
-            back = p @ out.T
-            g_out, g_bias = mean.T @ p, p.sum(axis=0)
-            for d in range(dim):
-                grad = np.bincount(ids, weights=share * back[row, d], minlength=BUCKETS)
-                sq_emb[d] += grad**2
-                emb[d] -= step * grad / np.sqrt(sq_emb[d])
-            sq_out += g_out**2
-            out -= step * g_out / np.sqrt(sq_out)
-            sq_bias += g_bias**2
-            bias -= step * g_bias / np.sqrt(sq_bias)
+    order = np.empty(0, dtype=np.int64)
+    for done in range(steps):
+        step = rate * (1 - done / steps)
+        if not len(order):
+            order = rng.permutation(len(y))
+        part, order = order[:BATCH], order[BATCH:]
+        ids, share = np.concatenate([bags[k][0] for k in part]), np.concatenate([bags[k][1] for k in part])
+        row = np.repeat(np.arange(len(part)), [len(bags[k][0]) for k in part])
+        mean = np.stack([np.bincount(row, weights=share * emb[d, ids], minlength=len(part)) for d in range(dim)], axis=1)
+        odds = mean @ out + bias
+        p = np.exp(odds - odds.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        p[np.arange(len(part)), y[part]] -= 1
+        p /= len(part)
+        back = p @ out.T
+        g_out, g_bias = mean.T @ p, p.sum(axis=0)
+        for d in range(dim):
+            grad = np.bincount(ids, weights=share * back[row, d], minlength=BUCKETS)
+            sq_emb[d] += grad**2
+            emb[d] -= step * grad / np.sqrt(sq_emb[d])
+        sq_out += g_out**2
+        out -= step * g_out / np.sqrt(sq_out)
+        sq_bias += g_bias**2
+        bias -= step * g_bias / np.sqrt(sq_bias)
     return Model((out[:, 1] - out[:, 0]) @ emb, float(bias[1] - bias[0]))
 
 
