@@ -36,11 +36,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 1 << 17
+BITS = 20
+BUCKETS = 1 << BITS
 DIM = 4
 SIZES = (3, 4, 5, 6)
 PER_CLASS = 1500
 MAX_CHARS = 12_000
+#: Buckets in fewer texts of the sample stay without weight.
+MIN_TEXTS = 3
 #: Gradient steps, whatever the sample's size.
 STEPS = 480
 RATE = 0.5
@@ -76,7 +79,7 @@ def runs(data: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         h = h[:n] * np.uint64(0x100000001B3) + data[size - 1 :].astype(np.uint64)
         if size in SIZES:
             mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
-            yield size, (mixed >> np.uint64(64 - 17)).astype(np.int32), inside[:n]
+            yield size, (mixed >> np.uint64(64 - BITS)).astype(np.int32), inside[:n]
 
 
 def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +97,7 @@ def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    weights: np.ndarray  # of each bucket, folded with the softmax
+    weights: np.ndarray  # one for each bucket, folded with the softmax
     constant: float
 
     def score(self, logits: np.ndarray) -> np.ndarray:
@@ -109,7 +112,14 @@ def train(texts: list[str | None], labels: list[int], dim: int = DIM, steps: int
         return Model(np.zeros(BUCKETS), 50.0 if share else -50.0)
     rng = np.random.default_rng(seed)
     bags = [bag(t) for t in texts]
-    emb = rng.uniform(-1 / dim, 1 / dim, (dim, BUCKETS))
+    seen = np.zeros(BUCKETS, dtype=np.int32)
+    for at, _ in bags:
+        seen[at] += 1
+    kept = np.flatnonzero(seen >= min(MIN_TEXTS, len(y)))
+    place = np.full(BUCKETS, -1, dtype=np.int32)
+    place[kept] = np.arange(len(kept))
+    bags = [(place[at][ok], share[ok]) for at, share in bags for ok in [place[at] >= 0]]
+    emb = rng.uniform(-1 / dim, 1 / dim, (dim, len(kept)))
     out, bias = rng.uniform(-1 / dim, 1 / dim, (dim, 2)), np.zeros(2)
     sq_emb, sq_out, sq_bias = np.full(emb.shape, 1e-8), np.full(out.shape, 1e-8), np.full(2, 1e-8)
     order = np.empty(0, dtype=np.int64)
@@ -129,14 +139,16 @@ def train(texts: list[str | None], labels: list[int], dim: int = DIM, steps: int
         back = p @ out.T
         g_out, g_bias = mean.T @ p, p.sum(axis=0)
         for d in range(dim):
-            grad = np.bincount(ids, weights=share * back[row, d], minlength=BUCKETS)
+            grad = np.bincount(ids, weights=share * back[row, d], minlength=len(kept))
             sq_emb[d] += grad**2
             emb[d] -= step * grad / np.sqrt(sq_emb[d])
         sq_out += g_out**2
         out -= step * g_out / np.sqrt(sq_out)
         sq_bias += g_bias**2
         bias -= step * g_bias / np.sqrt(sq_bias)
-    return Model((out[:, 1] - out[:, 0]) @ emb, float(bias[1] - bias[0]))
+    weights = np.zeros(BUCKETS)
+    weights[kept] = (out[:, 1] - out[:, 0]) @ emb
+    return Model(weights, float(bias[1] - bias[0]))
 
 
 def logits(texts: Iterator[str | None], model: Model) -> np.ndarray:
