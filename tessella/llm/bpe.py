@@ -10,7 +10,8 @@ merge touches its two neighbours only, so a pre-token of n bytes costs
 O(n log n), however long it is.
 
 Pre-tokens repeat, so each worker process remembers the ids of up to
-``MEMORY`` of them (then starts afresh). The usual pattern is cut by class
+``MEMORY`` of them in each of two generations: a full generation becomes the
+old one, and what is met again moves to the new. The usual pattern is cut by class
 tables over code points in numpy; any other runs as a regular expression.
 
 Defined cases: a null text counts as empty; an empty text has no ids and
@@ -32,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMORY = 400_000
+MEMORY = 600_000
 #: Rows that one Arrow batch of results may hold, and the characters after which it is passed on.
 BATCH_CHARS = 4_000_000
 #: Above this a text is cut by the regular expression, whose matches come one by one.
@@ -164,6 +165,7 @@ class Encoder(dict):
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, memory: int = MEMORY):
         super().__init__()
         self.ranks, self.memory = ranks, memory
+        self.old: dict[str, bytes] = {}
         self.classes = _classes() if pattern == PATTERN else None
         self.regex = regex.compile(pattern)
         top = max(ranks.values(), default=0)
@@ -177,9 +179,12 @@ class Encoder(dict):
         self.bytes = np.frombuffer(b"".join(words), dtype=np.uint8)
 
     def __missing__(self, word: str) -> bytes:
-        ids = array(self.code, merge(word.encode(), self.ranks)).tobytes()
+        ids = self.old.get(word)
+        if ids is None:
+            ids = array(self.code, merge(word.encode(), self.ranks)).tobytes()
         if len(word) <= 64:
             if len(self) >= self.memory:
+                self.old = dict(self)
                 self.clear()
             self[word] = ids
         return ids
