@@ -88,17 +88,22 @@ class Lattice:
         sizes = np.array([len(p) for p in pieces], dtype=np.int64)
         for i in range(points.shape[1]):
             keys = np.where(sizes > i, _hash(points[:, i], keys), keys)
-        # Open addressing: slots are the hash's top bits, and the next until free.
-        self.bits = max(12, int(np.ceil(np.log2(max(1, len(pieces)) * 8))))
+        # Open addressing: slots are the hash's top bits, and the next until free. Prefixes of pieces stand as -2.
+        named: dict[int, int] = {}
+        step = np.zeros(len(pieces), dtype=np.uint64)
+        for i in range(points.shape[1]):
+            step = _hash(points[:, i], step)
+            for key in np.unique(step[sizes > i + 1]).tolist():
+                named.setdefault(key, -2)
+        named |= {key: i for i, key in enumerate(keys.tolist())}
+        self.bits = max(12, int(np.ceil(np.log2(max(1, len(named)) * 8))))
         n = 1 << self.bits
         self.keys, self.ids = np.zeros(n + 64, dtype=np.uint64), np.full(n + 64, -1, dtype=np.int32)
-        self.probes = 1
-        for i, (key, slot) in enumerate(zip(keys.tolist(), (keys >> np.uint64(64 - self.bits)).tolist())):
-            k = slot
-            while self.ids[k] >= 0:
+        for key, i in named.items():
+            k = key >> (64 - self.bits)
+            while self.ids[k] != -1:
                 k += 1
             self.keys[k], self.ids[k] = key, i
-            self.probes = max(self.probes, k - slot + 1)
         self.single = {p: i for i, p in enumerate(pieces) if len(p) == 1}
 
     @staticmethod
@@ -108,95 +113,116 @@ class Lattice:
         return np.frombuffer(flat, dtype="<u4").reshape(len(words), width).astype(np.uint64)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Piece of each hash, or -1."""
+        """Piece of each hash; -2: the beginning of one; -1: neither."""
         slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
         out = np.full(len(hashes), -1, dtype=np.int32)
-        for _ in range(self.probes):
-            hit = (self.keys[slot] == hashes) & (self.ids[slot] >= 0)
-            out[hit] = self.ids[slot[hit]]
-            slot += 1
+        open_ = np.flatnonzero(self.ids[slot] != -1)
+        while len(open_):
+            at = slot[open_]
+            hit = self.keys[at] == hashes[open_]
+            out[open_[hit]] = self.ids[at[hit]]
+            open_ = open_[~hit]
+            slot[open_] += 1
+            open_ = open_[self.ids[slot[open_]] != -1]
         return out
 
-    def _spelt(self, points: np.ndarray) -> np.ndarray:
+    def _spelt(self, points: np.ndarray, logp: np.ndarray) -> np.ndarray:
         """Log probability of each character as byte pieces; -inf where it has a piece of its own."""
         known, at = np.unique(points, return_inverse=True)
         byte = self.size - 257
-        cost = [-np.inf if chr(int(c)) in self.single else sum(self.logp[byte + b] for b in chr(int(c)).encode("utf-8", "replace")) for c in known]
+        cost = [-np.inf if chr(int(c)) in self.single else sum(logp[byte + b] for b in chr(int(c)).encode("utf-8", "replace")) for c in known]
         return np.array(cost)[at.reshape(points.shape)] if points.size else np.zeros(points.shape)
 
-    def _arcs(self, points: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
-        """(from, to, piece of each word) for words of one length."""
+    def _arcs(self, points: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(from, to, words, their pieces) for words of one length, by ``to``."""
         n, width = points.shape
         arcs = []
         for i in range(width):
-            h, alive = np.zeros(n, dtype=np.uint64), None
+            rows, h = np.arange(n), np.zeros(n, dtype=np.uint64)
             for j in range(i + 1, min(width, i + self.longest) + 1):
-                h = _hash(points[:, j - 1], h)
+                h = _hash(points[rows, j - 1], h)
                 ids = self.find(h)
-                if (ids >= 0).any():
-                    arcs.append((i, j, ids))
-        del alive
-        return arcs
-
-    def score(self, words: list[str], counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Natural log of each word's marginal probability, and the expected uses of each piece weighted by ``counts``."""
-        out = np.zeros(len(words))
-        used = np.zeros(self.size)
+                whole = ids >= 0
+                if whole.any():
+                    arcs.append((i, j, rows[whole], ids[whole]))
+                rows, h = rows[ids != -1], h[ids != -1]
+                if not len(rows):
+                    break
+        return sorted(arcs, key=lambda a: a[1])
+
+    def _batches(self, words: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
+        """Words of one length together, as code points behind their mark."""
         by_size: dict[int, list[int]] = {}
         for k, w in enumerate(words):
             by_size.setdefault(len(w), []).append(k)
         for width, members in by_size.items():
-            step = max(1, 400_000 // (width * min(width, self.longest) + 1))
+            step = max(1, 400_000 // (width + 1))
             for at in range(0, len(members), step):
                 part = members[at : at + step]
-                points = self._pad([MARK + words[k] for k in part])
-                weight = None if counts is None else counts[part]
-                out[part] = self._forward(points, weight, used)
+                yield part, self._pad([MARK + words[k] for k in part])
+
+    def score_kinds(self, words: list[str], logp: np.ndarray) -> np.ndarray:
+        """(kinds, words): natural log of each word's marginal probability under each row of ``logp``; arcs are sought once."""
+        out = np.zeros((len(logp), len(words)))
+        for part, points in self._batches(words):
+            spelt = np.stack([self._spelt(points, row) for row in logp])
+            out[:, part] = self._ahead(points, self._arcs(points), spelt, logp)[:, -1]
+        return out
+
+    def score(self, words: list[str], counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Natural log of each word's marginal probability, and the expected uses of each piece weighted by ``counts``."""
+        out = np.zeros(len(words))
+        used = np.zeros(self.size)
+        for part, points in self._batches(words):
+            arcs, spelt = self._arcs(points), self._spelt(points, self.logp)
+            ahead = self._ahead(points, arcs, spelt[None], self.logp[None])[0]
+            out[part] = ahead[-1]
+            if counts is not None:
+                self._expect(points, arcs, spelt, ahead, counts[part], used)
         return out, used
 
-    def _forward(self, points: np.ndarray, weight: np.ndarray | None, used: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def _ahead(points: np.ndarray, arcs: list, spelt: np.ndarray, logp: np.ndarray) -> np.ndarray:
+        """(kinds, places, words): log probability of all paths to each place."""
+        n, width = points.shape
+        ahead = np.full((len(logp), width + 1, n), -np.inf)
+        ahead[:, 0] = 0
+        at = 0
+        for j in range(1, width + 1):
+            own = np.isfinite(spelt[0, :, j - 1])
+            if own.any():
+                ahead[:, j, own] = ahead[:, j - 1, own] + spelt[:, own, j - 1]
+            while at < len(arcs) and arcs[at][1] == j:
+                i, _, rows, ids = arcs[at]
+                ahead[:, j, rows] = np.logaddexp(ahead[:, j, rows], ahead[:, i, rows] + logp[:, ids])
+                at += 1
+        return ahead
+
+    def _expect(self, points: np.ndarray, arcs: list, spelt: np.ndarray, ahead: np.ndarray, weight: np.ndarray, used: np.ndarray) -> None:
+        """Adds each piece's expected uses: paths to an arc, the arc, and paths from it, over all paths."""
         n, width = points.shape
-        arcs, spelt = self._arcs(points), self._spelt(points)
-        logp = np.append(self.logp, -np.inf)  # piece -1: none
-        into: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(width + 1)]
-        for i, j, ids in arcs:
-            into[j].append((i, logp[ids]))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ahead = np.full((width + 1, n), -np.inf)
-            ahead[0] = 0
-            for j in range(1, width + 1):
-                paths = [ahead[i] + p for i, p in into[j]] + [ahead[j - 1] + spelt[:, j - 1]]
-                ahead[j] = _logsum(paths)
-            if weight is None:
-                return ahead[width]
-            rear = np.full((width + 1, n), -np.inf)
-            rear[width] = 0
-            outof: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(width + 1)]
-            for i, j, ids in arcs:
-                outof[i].append((j, logp[ids]))
-            for i in range(width - 1, -1, -1):
-                rear[i] = _logsum([rear[j] + p for j, p in outof[i]] + [rear[i + 1] + spelt[:, i]])
-            total = ahead[width]
-            for i, j, ids in arcs:
-                share = np.exp(ahead[i] + logp[ids] + rear[j] - total) * weight
-                hit = ids >= 0
-                used += np.bincount(ids[hit], weights=share[hit], minlength=self.size)
-            byte = self.size - 257
-            for i in range(width):
-                share = np.exp(ahead[i] + spelt[:, i] + rear[i + 1] - total) * weight
-                for k in np.flatnonzero(share > 0):
+        rear = np.full((width + 1, n), -np.inf)
+        rear[width] = 0
+        byte, pieces, shares = self.size - 257, [], []
+        arcs = sorted(arcs, key=lambda a: -a[0])
+        at = 0
+        for i in range(width - 1, -1, -1):
+            own = np.flatnonzero(np.isfinite(spelt[:, i]))
+            if len(own):
+                rear[i, own] = rear[i + 1, own] + spelt[own, i]
+                share = np.exp(ahead[i, own] + rear[i, own] - ahead[width, own]) * weight[own]
+                for k, x in zip(own.tolist(), share.tolist()):
                     for b in chr(int(points[k, i])).encode("utf-8", "replace"):
-                        used[byte + b] += share[k]
-        return total
-
-
-def _logsum(paths: list[np.ndarray]) -> np.ndarray:
-    if len(paths) == 1:
-        return paths[0]
-    stack = np.stack(paths)
-    top = stack.max(axis=0)
-    base = np.where(np.isfinite(top), top, 0)
-    return base + np.log(np.exp(stack - base).sum(axis=0))
+                        used[byte + b] += x
+            while at < len(arcs) and arcs[at][0] == i:
+                _, j, rows, ids = arcs[at]
+                rest = rear[j, rows] + self.logp[ids]
+                rear[i, rows] = np.logaddexp(rear[i, rows], rest)
+                pieces.append(ids)
+                shares.append(np.exp(ahead[i, rows] + rest - ahead[width, rows]) * weight[rows])
+                at += 1
+        if pieces:
+            used += np.bincount(np.concatenate(pieces), weights=np.concatenate(shares), minlength=self.size)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,14 +253,26 @@ def word_counts(docs: DataFrame, kinds: int, text: str = "text") -> DataFrame:
     return found.groupBy("word").agg(*by_kind, F.sum("n").alias("uses"))
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 60_000) -> Iterator[pa.RecordBatch]:
+    """Larger batches: the lattice works on words of one length at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _expect(pieces: list[str], logp: np.ndarray):
     """Expected uses of the pieces, by kind, over distinct words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattices, used = [Lattice(pieces, row) for row in logp], np.zeros(logp.shape)
-        for batch in batches:
+        lattice, used = Lattice(pieces), np.zeros(logp.shape)
+        for batch in _gathered(batches):
             words = batch.column(0).to_pylist()
-            for k, lattice in enumerate(lattices):
+            for k, lattice.logp in enumerate(logp):
                 own = [w for w, n in zip(words, batch.column(k + 1).to_pylist()) if n]
                 used[k] += lattice.score(own, np.ones(len(own)))[1]
         k, at = np.nonzero(used)
@@ -267,13 +305,13 @@ def _score_words(pieces: list[str], logp: np.ndarray, sums: np.ndarray, types: n
     freed = np.where(types > 0, DISCOUNT * types, 1) / np.maximum(sums, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattices = [Lattice(pieces, row) for row in logp]
-        for batch in batches:
+        lattice = Lattice(pieces)
+        for batch in _gathered(batches):
             words, out = batch.column(0).to_pylist(), []
-            for k, lattice in enumerate(lattices):
+            for k, paths in enumerate(lattice.score_kinds(words, logp)):
                 own = np.maximum(batch.column(k + 1).to_numpy() - DISCOUNT, 0) / max(sums[k], 1)
                 with np.errstate(divide="ignore"):
-                    out.append(pa.array(np.logaddexp(np.log(own), np.log(freed[k]) + lattice.score(words)[0]) / np.log(10)))
+                    out.append(pa.array(np.logaddexp(np.log(own), np.log(freed[k]) + paths) / np.log(10)))
             yield pa.RecordBatch.from_arrays([*batch.columns, *out], names=[*batch.schema.names, *names])
 
     return run
