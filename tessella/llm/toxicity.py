@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.session import materialize
+
 BITS = 20
 BUCKETS = 1 << BITS
 DIM = 4
@@ -209,9 +211,13 @@ def _scorer(shared, at: int, kept: int):
 def sample(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> DataFrame:
     """(text, toxic): the bounded sample that the classifier is fitted on."""
     marks = labels.where("toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    rows = docs.where(usable).select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= max_chars).join(marks, "doc_id")
-    pick = lambda toxic, n: rows.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(n)
-    return pick(1, per_class).unionByName(pick(0, 3 * per_class)).select("text", "toxic")
+    thin = docs.where(usable).select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n")).where(F.col("n") <= max_chars)
+    thin = thin.join(marks, "doc_id").select("doc_id", "toxic").distinct()
+    pick = lambda toxic, n: thin.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    # Ids are picked first; at most 4 * per_class of them go to where the texts are, so texts are not shuffled.
+    picked = F.broadcast(materialize(pick(1, per_class).unionByName(pick(0, 3 * per_class)), "picked"))
+    found = docs.where(usable).select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= max_chars).join(picked, "doc_id")
+    return found.groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).orderBy("doc_id").select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Model:
