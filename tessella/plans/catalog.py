@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessella.plans import dialogues, documents, relational, retrieval
 from tessella.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL"]
+__all__ = ["QUERIES", "SQL", "dialogues", "documents", "relational", "retrieval"]
