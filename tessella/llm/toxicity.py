@@ -88,13 +88,13 @@ def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text and their shares of the bag."""
     found = list(words_of(text))
     if not found:
-        return np.empty(0, dtype=np.int32), np.empty(0)
+        return np.empty(0, dtype=np.int32), np.empty(0, dtype=np.float32)
     data = np.frombuffer(b" " + b" ".join(w for w, _ in found) + b" ", dtype=np.uint8)
     weight = np.repeat(np.sqrt([n for _, n in found]), [len(w) + 1 for w, _ in found])
     found = [(b[ok], weight[: len(b)][ok[: len(weight)]]) for b, ok in ((b[: len(weight)], ok[: len(weight)]) for _, b, ok in runs(data))]
     at, place = np.unique(np.concatenate([b for b, _ in found]), return_inverse=True)
     n = np.bincount(place, weights=np.concatenate([w for _, w in found]))
-    return at, n / (n.sum() + PRIOR)
+    return at.astype(np.int32), (n / (n.sum() + PRIOR)).astype(np.float32)
 
 
 @dataclass
@@ -120,7 +120,9 @@ def train(texts: list[str | None], labels: list[int], dim: int = DIM, steps: int
     kept = np.flatnonzero(seen >= min(MIN_TEXTS, len(y)))
     place = np.full(BUCKETS, -1, dtype=np.int32)
     place[kept] = np.arange(len(kept))
-    bags = [(place[at][ok], share[ok]) for at, share in bags for ok in [place[at] >= 0]]
+    for k, (at, share) in enumerate(bags):
+        ok = place[at] >= 0
+        bags[k] = place[at[ok]], share[ok]
     emb = rng.uniform(-1 / dim, 1 / dim, (dim, len(kept)))
     out, bias = rng.uniform(-1 / dim, 1 / dim, (dim, 2)), np.zeros(2)
     sq_emb, sq_out, sq_bias = np.full(emb.shape, 1e-8), np.full(out.shape, 1e-8), np.full(2, 1e-8)
