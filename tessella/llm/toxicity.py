@@ -211,7 +211,7 @@ def _scorer(shared, at: int, kept: int):
 
 
 def sample(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> DataFrame:
-    """(text, toxic): the bounded sample that the classifier is fitted on."""
+    """(doc_id, toxic, text): the bounded sample that the classifier is fitted on."""
     marks = labels.where("toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     thin = docs.where(usable).select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n")).where(F.col("n") <= max_chars)
     thin = thin.join(marks, "doc_id").select("doc_id", "toxic").distinct()
@@ -219,12 +219,25 @@ def sample(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int =
     # Ids are picked first; at most 4 * per_class of them go to where the texts are, so texts are not shuffled.
     picked = F.broadcast(materialize(pick(1, per_class).unionByName(pick(0, 3 * per_class)), "picked"))
     found = docs.where(usable).select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= max_chars).join(picked, "doc_id")
-    return found.groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).orderBy("doc_id").select("text", "toxic")
+    return found.groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def _trainer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Trains on all rows of its one partition, the bounded sample."""
+    texts: list[str] = []
+    marks: list[int] = []
+    for batch in batches:
+        texts += batch.column(0).to_pylist()
+        marks += batch.column(1).to_pylist()
+    model = train(texts, marks)
+    yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype("<f4").tobytes()], pa.binary()), pa.array([model.constant])], names=["weights", "constant"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Model:
-    rows = sample(docs, labels, usable, per_class, max_chars).toPandas()
-    return train(rows["text"].tolist(), rows["toxic"].astype(int).tolist())
+    """The classifier, trained in one task (its sample is bounded); the driver gets one number a bucket."""
+    rows = sample(docs, labels, usable, per_class, max_chars).repartition(1).sortWithinPartitions("doc_id").select("text", "toxic")
+    made = rows.mapInArrow(_trainer, "weights binary, constant double").first()
+    return Model(np.frombuffer(made.weights, dtype="<f4"), made.constant) if made else train([], [])
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
