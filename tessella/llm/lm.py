@@ -48,7 +48,9 @@ ROUNDS = 2
 DISCOUNT = 0.75
 KINDS = 6
 #: Words held by a counting task before it passes them on.
-HELD = 300_000
+HELD = 120_000
+#: Documents whose words are held at once.
+DOCS = 500
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -156,7 +158,7 @@ class Lattice:
         for k, w in enumerate(words):
             by_size.setdefault(len(w), []).append(k)
         for width, members in by_size.items():
-            step = max(1, 400_000 // (width + 1))
+            step = max(1, 150_000 // (width + 1))
             for at in range(0, len(members), step):
                 part = members[at : at + step]
                 yield part, self._pad([MARK + words[k] for k in part])
@@ -253,7 +255,7 @@ def word_counts(docs: DataFrame, kinds: int, text: str = "text") -> DataFrame:
     return found.groupBy("word").agg(*by_kind, F.sum("n").alias("uses"))
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 60_000) -> Iterator[pa.RecordBatch]:
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 30_000) -> Iterator[pa.RecordBatch]:
     """Larger batches: the lattice works on words of one length at a time."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -326,7 +328,7 @@ def _score_docs(common, end: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, table = common.value
-        for batch in batches:
+        for batch in (b.slice(at, DOCS) for b in batches for at in range(0, b.num_rows, DOCS)):
             tokens, sums, row, other, times = [], np.zeros((batch.num_rows, len(end))), [], [], []
             for i, text in enumerate(batch.column(3)):
                 words = words_of(text.as_py())
