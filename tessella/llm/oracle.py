@@ -24,6 +24,14 @@ select conv_id, count(*) as n_turns,
 from sized group by conv_id
 """
 
+WARC = """
+with p as (select page_id, strlen(coalesce(html, '')) as n, sha1(coalesce(html, '')) as digest from pages),
+t as (select *, max(page_id) over (partition by digest) as top from p)
+select page_id, cast(n as bigint) as payload_bytes, digest as payload_digest, case when n >= 1000 and page_id < top then 'revisit' else 'response' end as record_type,
+  case when n >= 1000 and page_id < top then top end as refers_to
+from t
+"""
+
 MIXING = """
 with recursive counted as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as tokens from documents
@@ -81,4 +89,4 @@ from low
 
 
 def oracle_sql(site_rules) -> dict[str, str]:
-    return {"op4_chat_format": CHAT, "op5_mixing": MIXING, "op10_url_filter": _urls(site_rules)}
+    return {"op1_warc": WARC, "op4_chat_format": CHAT, "op5_mixing": MIXING, "op10_url_filter": _urls(site_rules)}
