@@ -24,6 +24,11 @@ def clean_text(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
+def strip(text: Column) -> Column:
+    """Without white space at the ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def unique(values: Column) -> Column:
     """Cleaned values without empty ones and repeats, first kept."""
     return F.array_distinct(F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), clean_text), lambda x: x != ""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions import hashing, text
+from tessella.functions import hashing, markdown, text
 from tessella.operators import dedup, metrics, profile, splits
 from tessella.plans.registry import query
 from tessella.sources.tables import load
@@ -250,3 +250,18 @@ def json_props_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("with v as (select event_type, list_sort(list(value)) as s, count(*) as n from events where value is not null group by 1) select event_type, n, s[greatest(cast(ceil(n * 0.95) as bigint) - 1, 0) + 1] as p_ceil, s[cast(round_even((n - 1) * 0.95, 0) as bigint) + 1] as p_round, s[least(cast(floor(n * 0.95) as bigint), n - 1) + 1] as p_int from v")
 def percentile_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.percentiles(load(spark, sf_dir, "events"), "value", 0.95, "event_type")
+
+
+@query("with l as (select doc_id, string_split(text, chr(10)) as ls, text from documents), f as (select doc_id, text, ls, list_filter(ls, lambda x: trim(x) <> '') as fl from l) select doc_id, cast(len(regexp_extract_all(text, '[^\\s]+')) as bigint) as words, contains(text, '|') as tables, round(case when len(fl) > 0 then length(array_to_string(fl, ''))::double / len(fl) else 0.0 end, 4) as mean_line, round((len(ls) - len(fl))::double / len(ls), 4) as empty_ratio from f")
+def markdown_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "documents").select("doc_id", markdown.quality(F.col("text")).alias("q")).select("doc_id", "q.words", "q.tables", "q.mean_line", "q.empty_ratio")
+
+
+@query("with c as (select doc_id, len(regexp_extract_all(text, 'the')) as en, len(regexp_extract_all(text, 'der')) as de, len(regexp_extract_all(text, 'que')) as es from documents) select doc_id, case when greatest(en, de, es) = 0 then null when en >= de and en >= es then 'en' when de >= es then 'de' else 'es' end as direction from c")
+def direction_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "documents").select("doc_id", markdown.direction(F.col("text"), {"en": ["the"], "de": ["der"], "es": ["que"]}).alias("direction"))
+
+
+@query("select doc_id, cast(3 * cast(regexp_matches(text, '[0-9]{3}') as int) + 2 * cast(regexp_matches(text, '\\?') as int) + cast(regexp_matches(text, '\\n') as int) as int) as score from documents")
+def category_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "documents").select("doc_id", text.weighted_score(F.col("text"), [("[0-9]{3}", 3), (r"\?", 2), (r"\n", 1)]).alias("score"))
