@@ -102,6 +102,30 @@ def exact_copy_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(heads, "k").where("doc_id <> a").select("a", F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard"))
 
 
+@query(f"""
+with keyed as (select doc_id, {KEY_SQL} as k from documents), keys as (select k, min(doc_id) as head from keyed where k <> '' group by 1),
+grams as (select head, unnest(case when length(k) >= 3 then list_distinct(list_transform(range(1, length(k) - 1), lambda i: substr(k, i, 3))) else [k] end) as gram from keys), sized as (select head, count(*) as n from grams group by 1),
+shared as (select x.head as a, y.head as b, count(*) as n from grams x join grams y on x.gram = y.gram and x.head < y.head group by 1, 2)
+select a, b, shared.n::double / (sa.n + sb.n - shared.n) as jaccard from shared join sized sa on sa.head = a join sized sb on sb.head = b where shared.n::double / (sa.n + sb.n - shared.n) >= 0.93
+union all select head, doc_id, 1.0::double from keyed join keys using (k) where doc_id <> head
+""")
+def near_dup_pairs_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All links at 0.93 or more between keys, each under its least id, and of every copy to that id."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", text.dedupe_key(F.col("text")).alias("k"))
+    nodes, members = dedup.distinct_keys(docs, "doc_id", "k")
+    copies = members.where("node <> id").select(F.col("node").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
+    return dedup.near_pairs(nodes).unionByName(copies)
+
+
+@query()
+def greedy_near_dup_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In ascending id, a document is kept unless it is linked at 0.93 or more to one kept before; without a key it is kept."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", text.dedupe_key(F.col("text")).alias("k"))
+    nodes, members = dedup.distinct_keys(docs, "doc_id", "k")
+    gone = dedup.greedy_dropped(dedup.near_pairs(nodes)).unionByName(members.where("node <> id").select("id")).withColumn("gone", F.lit(True))
+    return docs.select("doc_id").join(gone, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.col("gone").isNull().alias("kept"))
+
+
 TOKENS = "regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+')"
 
 
