@@ -107,6 +107,36 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.withColumn("rank", F.col("rank").cast("long")).withColumn("best_rank", F.col("best_rank").cast("long"))
 
 
+ALL_HITS = f"""q as (select item_id as query, unnest(list_distinct({TOK})) as term from benchmark), d as (select doc_id as key, unnest(list_distinct({TOK})) as term from documents),
+hits as (select query, key, count(*) as n_matched from q join d using (term) group by 1, 2)"""
+
+
+@query(f"with {ALL_HITS}, r as (select *, row_number() over (partition by query order by n_matched desc, key) as rank from hits) select query, key, n_matched, rank from r where rank <= 5")
+def payload_overlap_all_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """payload_overlap_route without its limit on the document frequency of a word."""
+    return overlap_all(spark, sf_dir, 5).select("query", "key", "n_matched", F.col("rank").cast("long").alias("rank"))
+
+
+def overlap_all(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """The best k documents of each query by the number of its words that they have, however common the words are."""
+    asked = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.array_distinct(text.words(F.col("text")))).alias("term"))
+    each = doc_words(spark, sf_dir).select(F.col("doc_id").alias("key"), F.explode(F.array_distinct("w")).alias("term"))
+    hits = each.join(asked, "term").groupBy("query", "key").agg(F.count("*").alias("n_matched"))
+    return retrieval.top_k(hits, ["query"], [F.desc("n_matched"), F.asc("key")], k)
+
+
+@query(f"""
+with {BM25}, r1 as (select query, key, row_number() over (partition by query order by round(score, 6) desc, key) as rank from scored qualify rank <= 40), {ALL_HITS},
+r2 as (select query, key, row_number() over (partition by query order by n_matched desc, key) as rank from hits qualify rank <= 40),
+fused as (select query, key, round(sum(1.0::double / (60 + rank)), 8) as rrf_score, count(*) as n_routes, min(rank) as best_rank from (select * from r1 union all select * from r2) group by 1, 2),
+ranked as (select *, row_number() over (partition by query order by rrf_score desc, best_rank, key) as rank from fused) select * from ranked where rank <= 10
+""")
+def rrf_fusion_all_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fused = retrieval.rrf({"bm25": bm25_route(spark, sf_dir), "overlap": overlap_all(spark, sf_dir, 40)}).withColumn("rrf_score", F.round("rrf_score", 8))
+    top = retrieval.top_k(fused, ["query"], [F.desc("rrf_score"), F.asc("best_rank"), F.asc("key")], 10)
+    return top.withColumn("rank", F.col("rank").cast("long")).withColumn("best_rank", F.col("best_rank").cast("long"))
+
+
 @query("with v as (select vec_id, label, embedding::double[] as e from embeddings), s as (select q.vec_id as query, c.vec_id as key, c.label, round(list_cosine_similarity(q.e, c.e), 6) as score from v q, v c where q.vec_id % 20 = 0 and q.vec_id <> c.vec_id), r as (select *, row_number() over (partition by query order by score desc, key) as rank from s) select query, key, label, score, rank from r where rank <= 10")
 def dense_topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense(spark, sf_dir, 10).withColumn("rank", F.col("rank").cast("long"))
