@@ -375,6 +375,6 @@ def lexicon_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def lexicon_longest_non_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = entry_terms(spark, sf_dir).select("term").where(F.length("term").between(4, 7)).distinct()
-    hits = lexicon.match_terms(load(spark, sf_dir, "benchmark"), "item_id", "text", terms, [4, 5, 6, 7])
-    return lexicon.non_overlapping(hits).select(F.col("key").alias("item_id"), F.explode("chosen").alias("c")).select("item_id", "c.start", "c.term")
+    """Catalogue terms of every length in the lower-case text of documents."""
+    chosen = lexicon.longest_in_words(load(spark, sf_dir, "documents"), "doc_id", F.lower(F.coalesce("text", F.lit(""))), entry_terms(spark, sf_dir))
+    return chosen.select(F.col("key").alias("doc_id"), "start", "term")
