@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text
 from tessella.functions.hashing import cosine
-from tessella.operators import gate, lexicon, metrics, retrieval, splits
+from tessella.operators import dedup, gate, lexicon, metrics, retrieval, splits
 from tessella.plans.registry import query
 from tessella.sources.tables import load
 
@@ -300,8 +300,11 @@ def split_overlap_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def component_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = lexicon.similar_entries(postings(spark, sf_dir), k=1)
-    return splits.component_split(pairs, "a", "b")
+    """Entries that are similar, whatever their source, and near copies are one component, and so on one side."""
+    similar = lexicon.similar_entries(postings(spark, sf_dir), k=None, other_names=False).where("a < b").select("a", "b")
+    docs = load(spark, sf_dir, "documents").select("doc_id", text.dedupe_key(F.col("text")).alias("k"))
+    copies = dedup.near_duplicate_components(docs, "doc_id", "k").where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))
+    return splits.component_split(similar.unionByName(copies), "a", "b")
 
 
 @query(f"with {BM25}, r as (select query, key, row_number() over (partition by query order by round(score, 6) desc, key) as rank from scored qualify rank <= 40), f as (select b.item_id, min(rank) as rank from benchmark b left join r on r.query = b.item_id and r.key % 7 = b.item_id % 7 group by 1) select count(*) as cases, round(avg(case when rank <= 1 then 1.0 else 0.0 end), 6) as recall_1, round(avg(case when rank <= 5 then 1.0 else 0.0 end), 6) as recall_5, round(avg(case when rank <= 8 then 1.0 else 0.0 end), 6) as recall_8, round(avg(case when rank <= 8 then 1.0::double / rank else 0.0 end), 6) as mrr, round(avg(case when rank <= 8 then 1.0 / log2(rank + 1.0) else 0.0 end), 6) as ndcg from f")
