@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.text import let
+from tessella.session import materialize
 
 
 def match_terms(texts: DataFrame, key: str, text: str, terms: DataFrame, sizes: list[int]) -> DataFrame:
@@ -84,7 +85,7 @@ def longest_in_words(texts: DataFrame, key: str, text: Column, terms: DataFrame)
     word, and words do not overlap, so the choice is made once for each
     distinct word and holds wherever the word stands.
     """
-    terms = terms.select("term").where("term <> ''").distinct()
+    terms = materialize(terms.select("term").where("term <> ''").distinct(), "terms")
     sizes = sorted(r.n for r in terms.select(F.length("term").alias("n")).distinct().collect())
     kind = dict(texts.dtypes)[key]
     said = texts.select(F.col(key).alias("key"), text.alias("text")).mapInArrow(_word_starts, f"key {kind}, word string, starts array<int>")
