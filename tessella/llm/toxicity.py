@@ -14,14 +14,20 @@ bucket's vector is folded with the softmax into one weight, which every worker
 gets (``BUCKETS`` numbers, whatever the corpus).
 
 The classifier is fitted on a bounded sample: of each class up to
-``PER_CLASS`` times (1 for toxic, 3 for clean) labelled training rows whose
-text has at most ``MAX_CHARS`` characters, by order of a hash of their ids.
-Every row is scored, over its whole text.
+``PER_CLASS`` times (1 for toxic, 3 for clean) labelled training rows, by order
+of a hash of their ids, until their texts have passed ``CLASS_CHARS``
+characters times the same. No row is left out for its own length, and every
+row is scored, over its whole text.
+
+The constant is set by folds: the sample is dealt into ``FOLDS``, each is
+scored by a classifier fitted on the others, and the cut with the best F1 over
+all of these (rows weighing as their class is sampled) becomes a score of 0.5.
 
 Defined cases: null texts count as empty; a text without words gets the score
 of the model's constant; labels that are null or unknown to ``docs`` are left
 out; an id with several labels counts as toxic if one says so; if a class has
-no rows, every score is the share of toxic labels (0 if there are none);
+no rows, every score is the share of toxic labels (0 if there are none); with
+fewer rows than folds in a class, the constant is the softmax's own;
 repeated rows are each scored; an empty table gives an empty table.
 """
 
@@ -43,9 +49,12 @@ BUCKETS = 1 << BITS
 DIM = 4
 SIZES = (3, 4, 5, 6)
 PER_CLASS = 1500
-MAX_CHARS = 12_000
+CLASS_CHARS = 8_000_000
 #: Buckets in fewer texts of the sample stay without weight.
-MIN_TEXTS = 3
+MIN_TEXTS = 8
+#: Pull of the vectors that a step touches towards zero.
+DECAY = 3e-6
+FOLDS = 3
 #: Gradient steps, whatever the sample's size.
 STEPS = 480
 RATE = 0.5
@@ -86,17 +95,38 @@ def runs(data: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text and their shares of the bag."""
-    found = list(words_of(text))
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    block: list[tuple[bytes, int]] = []
+
+    def flush() -> None:
+        data = np.frombuffer(b" " + b" ".join(w for w, _ in block) + b" ", dtype=np.uint8)
+        weight = np.repeat(np.sqrt([n for _, n in block]), [len(w) + 1 for w, _ in block])
+        for _, buckets, ok in runs(data):
+            m = min(len(buckets), len(weight))
+            found.append(_summed(buckets[:m][ok[:m]], weight[:m][ok[:m]]))
+        block.clear()
+
+    held = 0
+    for word, n in words_of(text):
+        block.append((word, n))
+        held += len(word) + 1
+        if held >= BLOCK:
+            flush()
+            held = 0
+    if block:
+        flush()
     if not found:
         return np.empty(0, dtype=np.int32), np.empty(0, dtype=np.float32)
-    data = np.frombuffer(b" " + b" ".join(w for w, _ in found) + b" ", dtype=np.uint8)
-    weight = np.repeat(np.sqrt([n for _, n in found]), [len(w) + 1 for w, _ in found])
-    found = [(b[ok], weight[: len(b)][ok[: len(weight)]]) for b, ok in ((b[: len(weight)], ok[: len(weight)]) for _, b, ok in runs(data))]
-    at, place = np.unique(np.concatenate([b for b, _ in found]), return_inverse=True)
-    n = np.bincount(place, weights=np.concatenate([w for _, w in found]))
+    at, n = _summed(np.concatenate([b for b, _ in found]), np.concatenate([w for _, w in found]))
     return at.astype(np.int32), (n / (n.sum() + PRIOR)).astype(np.float32)
 
 
+def _summed(buckets: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets and the sums of their weights."""
+    at, place = np.unique(buckets, return_inverse=True)
+    return at, np.bincount(place, weights=weight, minlength=len(at))
+
+
 @dataclass
 class Model:
     weights: np.ndarray  # one for each bucket, folded with the softmax
@@ -106,33 +136,64 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logits, -50, 50)))
 
 
-def train(texts: list[str | None], labels: list[int], dim: int = DIM, steps: int = STEPS, rate: float = RATE, seed: int = 1) -> Model:
-    """Embeddings and softmax, trained together on bags of subwords."""
+def train(texts: list[str | None], labels: list[int], of: list[float] | None = None, dim: int = DIM, steps: int = STEPS, rate: float = RATE, seed: int = 1) -> Model:
+    """Embeddings and softmax, trained together on bags of subwords; ``of``: how many labelled rows each row stands for."""
     y = np.array(labels, dtype=np.int64)
     if len(set(labels)) < 2:
         share = float(y.mean()) if len(y) else 0.0
         return Model(np.zeros(BUCKETS), 50.0 if share else -50.0)
-    rng = np.random.default_rng(seed)
     bags = [bag(t) for t in texts]
     seen = np.zeros(BUCKETS, dtype=np.int32)
     for at, _ in bags:
         seen[at] += 1
-    kept = np.flatnonzero(seen >= min(MIN_TEXTS, len(y)))
-    place = np.full(BUCKETS, -1, dtype=np.int32)
+    few = seen < min(MIN_TEXTS, len(y))
+    bags = [(at[~few[at]], share[~few[at]]) for at, share in bags]
+    model = _descend(bags, y, np.arange(len(y)), dim, steps, rate, seed)
+    if np.bincount(y).min() < FOLDS:
+        return model
+    fold = np.zeros(len(y), dtype=np.int64)
+    for label in (0, 1):
+        own = np.flatnonzero(y == label)
+        fold[own] = np.arange(len(own)) % FOLDS
+    odds = np.zeros(len(y))
+    for f in range(FOLDS):
+        part = _descend(bags, y, np.flatnonzero(fold != f), dim, steps, rate, seed)
+        for k in np.flatnonzero(fold == f):
+            odds[k] = part.weights[bags[k][0]] @ bags[k][1] + part.constant
+    return Model(model.weights, model.constant - best_cut(odds, y, np.ones(len(y)) if of is None else np.asarray(of, dtype=float)))
+
+
+def best_cut(odds: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """The cut of ``odds`` that gives the best F1, midway between its two neighbours; of equal cuts the highest."""
+    order = np.argsort(-odds, kind="stable")
+    high, toxic = odds[order], y[order] == 1
+    hits, taken = np.cumsum(weight[order] * toxic), np.cumsum(weight[order])
+    f1 = 2 * hits / (taken + hits[-1])
+    f1[:-1][high[:-1] == high[1:]] = -1  # equal odds are not cut apart
+    at = int(np.argmax(f1))
+    return float((high[at] + high[at + 1]) / 2) if at + 1 < len(high) else float(high[at] - 1)
+
+
+def _descend(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, own: np.ndarray, dim: int, steps: int, rate: float, seed: int) -> Model:
+    """A model fitted on the rows ``own``."""
+    rng = np.random.default_rng(seed)
+    seen = np.zeros(BUCKETS, dtype=np.int32)
+    for k in own:
+        seen[bags[k][0]] += 1
+    kept = np.flatnonzero(seen >= min(MIN_TEXTS, len(own)))
+    place = np.full(BUCKETS, len(kept), dtype=np.int32)  # the last: buckets without weight
     place[kept] = np.arange(len(kept))
-    for k, (at, share) in enumerate(bags):
-        ok = place[at] >= 0
-        bags[k] = place[at[ok]], share[ok]
-    emb = rng.uniform(-1 / dim, 1 / dim, (dim, len(kept)))
+    emb = rng.uniform(-1 / dim, 1 / dim, (dim, len(kept) + 1))
+    emb[:, -1] = 0
     out, bias = rng.uniform(-1 / dim, 1 / dim, (dim, 2)), np.zeros(2)
     sq_emb, sq_out, sq_bias = np.full(emb.shape, 1e-8), np.full(out.shape, 1e-8), np.full(2, 1e-8)
     order = np.empty(0, dtype=np.int64)
     for done in range(steps):
         step = rate * (1 - done / steps)
         if not len(order):
-            order = rng.permutation(len(y))
+            order = rng.permutation(own)
         part, order = order[:BATCH], order[BATCH:]
-        ids, share = np.concatenate([bags[k][0] for k in part]), np.concatenate([bags[k][1] for k in part])
+        ids, share = place[np.concatenate([bags[k][0] for k in part])], np.concatenate([bags[k][1] for k in part])
         row = np.repeat(np.arange(len(part)), [len(bags[k][0]) for k in part])
         mean = np.stack([np.bincount(row, weights=share * emb[d, ids], minlength=len(part)) for d in range(dim)], axis=1)
         odds = mean @ out + bias
@@ -143,7 +204,9 @@ def train(texts: list[str | None], labels: list[int], dim: int = DIM, steps: int
         back = p @ out.T
         g_out, g_bias = mean.T @ p, p.sum(axis=0)
         for d in range(dim):
-            grad = np.bincount(ids, weights=share * back[row, d], minlength=len(kept))
+            grad = np.bincount(ids, weights=share * back[row, d], minlength=len(kept) + 1)
+            grad += DECAY * emb[d] * (grad != 0)
+            grad[-1] = 0
             sq_emb[d] += grad**2
             emb[d] -= step * grad / np.sqrt(sq_emb[d])
         sq_out += g_out**2
@@ -151,7 +214,7 @@ def train(texts: list[str | None], labels: list[int], dim: int = DIM, steps: int
         sq_bias += g_bias**2
         bias -= step * g_bias / np.sqrt(sq_bias)
     weights = np.zeros(BUCKETS)
-    weights[kept] = (out[:, 1] - out[:, 0]) @ emb
+    weights[kept] = (out[:, 1] - out[:, 0]) @ emb[:, :-1]
     return Model(weights, float(bias[1] - bias[0]))
 
 
@@ -210,32 +273,39 @@ def _scorer(shared, at: int, kept: int):
     return run
 
 
-def sample(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> DataFrame:
-    """(doc_id, toxic, text): the bounded sample that the classifier is fitted on."""
+def sample(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = PER_CLASS, class_chars: int = CLASS_CHARS) -> DataFrame:
+    """(doc_id, toxic, stands_for, text): the bounded sample that the classifier is fitted on, and how many labelled rows each row stands for."""
     marks = labels.where("toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    thin = docs.where(usable).select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n")).where(F.col("n") <= max_chars)
-    thin = thin.join(marks, "doc_id").select("doc_id", "toxic").distinct()
-    pick = lambda toxic, n: thin.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    thin = docs.where(usable).select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    thin = thin.join(marks, "doc_id").groupBy("doc_id", "toxic").agg(F.max("n").alias("n"))
+    thin = materialize(thin.withColumn("h", F.xxhash64("doc_id")), "labelled")
+    totals = thin.groupBy("toxic").count().withColumnRenamed("count", "total")
+    before = "coalesce(sum(n) over (order by h, doc_id rows between unbounded preceding and 1 preceding), 0)"
+    # At most ``times * per_class`` rows reach these windows.
+    pick = lambda toxic, times: thin.where(F.col("toxic") == toxic).orderBy("h", "doc_id").limit(times * per_class).withColumn("before", F.expr(before)).where(F.col("before") < times * class_chars)
+    picked = pick(1, 1).unionByName(pick(0, 3)).join(F.broadcast(totals), "toxic")
+    picked = picked.withColumn("stands_for", F.col("total") / F.expr("count(*) over (partition by toxic)")).select("doc_id", "toxic", "stands_for")
     # Ids are picked first; at most 4 * per_class of them go to where the texts are, so texts are not shuffled.
-    picked = F.broadcast(materialize(pick(1, per_class).unionByName(pick(0, 3 * per_class)), "picked"))
-    found = docs.where(usable).select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= max_chars).join(picked, "doc_id")
-    return found.groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    picked = F.broadcast(materialize(picked, "picked"))
+    found = docs.where(usable).select("doc_id", "text").join(picked, "doc_id")
+    return found.groupBy("doc_id", "toxic", "stands_for").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
 
 def _trainer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Trains on all rows of its one partition, the bounded sample."""
     texts: list[str] = []
     marks: list[int] = []
+    of: list[float] = []
     for batch in batches:
-        texts += batch.column(0).to_pylist()
-        marks += batch.column(1).to_pylist()
-    model = train(texts, marks)
+        for held, column in zip((texts, marks, of), batch.columns):
+            held += column.to_pylist()
+    model = train(texts, marks, of)
     yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype("<f4").tobytes()], pa.binary()), pa.array([model.constant])], names=["weights", "constant"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = PER_CLASS, class_chars: int = CLASS_CHARS) -> Model:
     """The classifier, trained in one task (its sample is bounded); the driver gets one number a bucket."""
-    rows = sample(docs, labels, usable, per_class, max_chars).repartition(1).sortWithinPartitions("doc_id").select("text", "toxic")
+    rows = sample(docs, labels, usable, per_class, class_chars).repartition(1).sortWithinPartitions("doc_id").select("text", "toxic", "stands_for")
     made = rows.mapInArrow(_trainer, "weights binary, constant double").first()
     return Model(np.frombuffer(made.weights, dtype="<f4"), made.constant) if made else train([], [])
 

@@ -129,3 +129,33 @@ def test_toxicity_edge_cases(spark, docs, no_docs):
     assert toxicity.score(docs, model).count() == docs.count()
     assert toxicity.score(docs, toxicity.fit(docs, labels.limit(0), F.lit(True))).where("score > 0").where("score >= 0.5").count() == 0
     assert toxicity.score(no_docs, model).count() == 0
+
+
+def test_best_cut_is_that_of_all_cuts():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 30):
+        odds, y, weight = rng.integers(-4, 4, n).astype(float), rng.integers(0, 2, n), rng.random(n) + 0.1
+        y[0] = 1
+        f1 = lambda cut: 2 * weight[(odds > cut) & (y == 1)].sum() / (weight[odds > cut].sum() + weight[y == 1].sum())
+        assert math.isclose(f1(toxicity.best_cut(odds, y, weight)), max(f1(c - 0.5) for c in odds))
+
+
+def test_toxicity_sample_is_not_cut_by_length(spark):
+    rows = [(i, "word " * (40_000 if i % 10 == 0 else 5), i) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    taken = toxicity.sample(docs, labels, F.lit(True)).collect()
+    assert {r.doc_id for r in taken} == set(range(60)) and all(r.stands_for == 1 and r.toxic == r.doc_id % 2 for r in taken)
+    few = toxicity.sample(docs, labels, F.lit(True), per_class=5, class_chars=10**9).collect()
+    assert sorted((r.toxic, r.stands_for) for r in few) == [(0, 2.0)] * 15 + [(1, 6.0)] * 5
+    # Rows are taken in order until the characters are passed; the one that passes them is taken whole.
+    short = toxicity.sample(docs, labels, F.lit(True), class_chars=100_000).collect()
+    assert 0 < sum(r.toxic for r in short) and all(len(r.text) in (25, 200_000) for r in short)
+
+
+def test_bag_of_a_long_text_in_blocks(monkeypatch):
+    text = "".join(f"word{i % 900} of{i} " for i in range(20_000))
+    at, share = toxicity.bag(text)
+    monkeypatch.setattr(toxicity, "BLOCK", 10**9)
+    whole_at, whole_share = toxicity.bag(text)
+    assert abs(share.sum() - whole_share.sum()) < 1e-3 and len(set(at) ^ set(whole_at)) < 50
