@@ -1,14 +1,18 @@
 """Deterministic sharded WARC writing, and reading back.
 
-Records are sorted by range of their key, so shards follow each other. A task
-writes its range as one or more files, starting a new one when the compressed
-size passes ``roll_bytes``; every record is a gzip member of its own, with
+Records are sorted by range of (key, digest), so shards follow each other. The
+bounds of the shards are exact: running sums of payload bytes over the sorted
+(key, digest), cut at fixed totals. They depend on the rows alone, not on how
+these are dealt out, on samples or on earlier jobs, and so do names and bytes
+of all files. A shard is one or more files, a new one being started when the
+compressed size passes ``roll_bytes``; every record is a gzip member of its own, with
 headers and digests made afresh from the payload, and nothing in a file
 depends on clock, host or attempt. A file is written under a temporary name
 and moved to its final name when it is whole; a repeated attempt writes the
 same bytes over it. The manifest (file, place, records, bytes, SHA-256, first
 and last key) is a table committed after all files are: readers go by it, and
-files that it does not name do not count.
+files that it does not name do not count. Any file system that pyarrow opens by
+its URI will do; where a move is a copy (object stores), a file is written twice.
 
 Of records with equal payloads of at least ``revisit_bytes`` bytes, the one
 with the largest key is the response and the others are revisits of it, which
@@ -18,12 +22,14 @@ Defined cases: a null payload is empty; a null URL is written as
 ``urn:page:<key>``, blanks, ``%`` and what is not printable ASCII are percent-encoded;
 rows that repeat key and payload are one response (the first) and revisits of
 that same key; a null key is the least key and is written as empty; an empty
-table makes an empty manifest; extra columns are left out.
+table makes an empty manifest; extra columns are left out. Rows of one key and
+one payload are the least that one shard holds.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import gzip
 import hashlib
 import io
@@ -32,13 +38,21 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.session import materialize
+
 REVISIT_BYTES = 1000
 ROLL_BYTES = 1 << 30
+#: A shard has 1 / 256 of all bytes, but at least and at most so many (uncompressed).
+LEAST_SHARD, MOST_SHARD = 4 << 20, 1 << 30
+#: Bytes that headers add to a record, for the running sums.
+HEADERS = 600
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "file string, part int, records long, bytes long, sha256 string, first_key string, last_key string"
@@ -106,11 +120,11 @@ class _Shard:
 
 
 def _writer(folder_uri: str, prefix: str, roll_bytes: int):
-    """Reads rows sorted by (key, digest, is page): decisions come before the pages they hold for."""
+    """Reads rows sorted by (part, key, digest, is page): decisions come before the pages they hold for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, folder = fs.FileSystem.from_uri(folder_uri)
-        shard, made, part = None, [], None
+        shard, made, part, rolled = None, [], None, 0
         decided = responded = None  # ((key, digest), the key to refer to), and the last (key, digest) written as a shared response
         try:
             for batch in batches:
@@ -124,11 +138,12 @@ def _writer(folder_uri: str, prefix: str, roll_bytes: int):
                     to = decided[1] if decided is not None and decided[0] == (key, digest) else None
                     if to is not None and to == key and responded != (key, digest):
                         to, responded = None, (key, digest)  # the response itself; rows that repeat it revisit it
-                    if shard is None or shard.bytes >= roll_bytes:
+                    if shard is None or shard.bytes >= roll_bytes or part != parts[i]:
                         if shard is not None:
                             made.append(shard.commit())
+                        rolled = rolled + 1 if part == parts[i] else 0
                         part = parts[i]
-                        shard = _Shard(files, folder, f"{prefix}-{part:05d}-{len(made):04d}.warc.gz", part)
+                        shard = _Shard(files, folder, f"{prefix}-{part:06d}-{rolled:04d}.warc.gz", part)
                     data = bytes(payload)
                     shard.add(name, _record(name, urls[i], None if to is not None else data, digest, len(data), None if to is None else str(to)))
             if shard is not None:
@@ -147,26 +162,63 @@ def _arrow(ddl: str) -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (c.split() for c in ddl.split(", "))])
 
 
+def shard_bounds(thin: DataFrame, shards: int | None = None) -> list[tuple[int | None, str]]:
+    """The first (key, digest) of every shard, in order, from (key, digest, length).
+
+    The driver gets one row a shard, 100,000 for 100 TB.
+    """
+    groups = thin.groupBy("key", "digest").agg(F.sum(F.col("length") + HEADERS).alias("bytes"))
+    # Where these ranges end does not matter: the sums over them are exact.
+    ranges = materialize(groups.repartitionByRange("key", "digest").withColumn("range", F.spark_partition_id()), "ranges")
+    sums = ranges.groupBy("range").agg(F.sum("bytes").alias("bytes"))
+    # One row a range.
+    starts = sums.select("range", F.expr("coalesce(sum(bytes) over (order by range rows between unbounded preceding and 1 preceding), 0) as start"), F.expr("sum(bytes) over () as total"))
+    cut = F.ceil(F.col("total") / shards) if shards else F.least(F.greatest(F.ceil(F.col("total") / 256), F.lit(LEAST_SHARD)), F.lit(MOST_SHARD))
+    inside = "coalesce(sum(bytes) over (partition by range order by key, digest rows between unbounded preceding and 1 preceding), 0)"
+    placed = ranges.withColumn("inside", F.expr(inside)).join(F.broadcast(starts), "range").select("key", "digest", F.floor((F.col("start") + F.col("inside")) / cut).alias("shard"))
+    found = placed.groupBy("shard").agg(F.min(F.struct("key", "digest")).alias("first")).select("shard", "first.*").collect()
+    return [(r.key, r.digest) for r in sorted(found, key=lambda r: r.shard)]
+
+
+def _shard_of(bounds: list[tuple[int | None, str]]) -> Column:
+    """The shard of each (key, digest); a null key comes before all others."""
+    low = -(2**63)
+    order = [(low if key is None else key, key is not None, digest) for key, digest in bounds]
+    keys = np.array([b[0] for b in order], dtype=np.int64)
+
+    def place(key: pd.Series, absent: pd.Series, digest: pd.Series) -> pd.Series:
+        at = np.searchsorted(keys, key, side="right") - 1
+        # Where bounds share the key, the digest decides.
+        for i in np.flatnonzero(np.searchsorted(keys, key, side="left") <= at):
+            at[i] = bisect.bisect_right(order, (int(key[i]), not absent[i], digest[i])) - 1
+        return pd.Series(np.maximum(at, 0).astype(np.int32))
+
+    return F.pandas_udf(place, "int")(F.coalesce("key", F.lit(low)), F.col("key").isNull(), F.col("digest"))
+
+
 def write_archive(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", revisit_bytes: int = REVISIT_BYTES, roll_bytes: int = ROLL_BYTES, shards: int | None = None, prefix: str = "part") -> DataFrame:
     """Write every row of ``pages`` below ``folder`` and return the committed manifest.
 
-    Payloads are shuffled once. What revisits what is found on digests alone,
-    and the decisions (one row a revisit) are sorted in among the pages.
+    Payloads are shuffled once. Shards, and what revisits what, are found on a
+    thin table of digests, and the decisions (one row a revisit) are sorted in
+    among the pages. ``shards``: about so many, of equal bytes.
     """
     spark = pages.sparkSession
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), body.alias("payload")).withColumn("digest", F.sha1("payload"))
-    thin = rows.select("key", "digest", F.octet_length("payload").alias("length")).where(F.col("length") >= revisit_bytes)
-    shared = thin.groupBy("digest").agg(F.count("*").alias("n"), F.max("key").alias("refers")).where("n > 1").select("digest", "refers")
-    decisions = thin.select("key", "digest").distinct().join(shared, "digest").where("refers is not null")
+    thin = materialize(rows.select("key", "digest", F.octet_length("payload").cast("long").alias("length")), "digests")
+    bounds = shard_bounds(thin, shards)
+    long = thin.where(F.col("length") >= revisit_bytes)
+    shared = long.groupBy("digest").agg(F.count("*").alias("n"), F.max("key").alias("refers")).where("n > 1").select("digest", "refers")
+    decisions = long.select("key", "digest").distinct().join(shared, "digest").where("refers is not null")
     both = rows.select("key", "digest", F.lit(True).alias("page"), F.lit(None).cast("long").alias("refers"), "url", "payload").unionByName(
         decisions.select("key", "digest", F.lit(False).alias("page"), "refers", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
     )
-    ranged = both.repartitionByRange(shards, "key") if shards else both.repartitionByRange("key")
-    ranged = ranged.sortWithinPartitions("key", "digest", "page", "url").withColumn("part", F.spark_partition_id())
+    dealt = both.withColumn("part", _shard_of(bounds)).repartitionById(max(1, len(bounds)), "part")
+    ordered = dealt.sortWithinPartitions("part", "key", "digest", "page", "url")
     files, place = fs.FileSystem.from_uri(folder)
     files.create_dir(f"{place}/_temporary")
-    made = ranged.select("key", "digest", "page", "part", "refers", "url", "payload").mapInArrow(_writer(folder, prefix, roll_bytes), MANIFEST)
+    made = ordered.select("key", "digest", "page", "part", "refers", "url", "payload").mapInArrow(_writer(folder, prefix, roll_bytes), MANIFEST)
     made.write.parquet(f"{folder}/manifest")
     files.delete_dir(f"{place}/_temporary")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")

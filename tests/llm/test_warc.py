@@ -57,6 +57,32 @@ def test_same_bytes_again_and_no_leftovers(spark):
     assert shas[0] == shas[1]
 
 
+@pytest.mark.parametrize("shards", [None, 8])
+def test_same_files_from_other_layouts_and_after_other_jobs(spark, shards):
+    """Names and SHA-256 over several shards depend on the rows alone."""
+    key = F.when(F.col("id") % 1000 == 0, None).otherwise(F.xxhash64("id") % 30_000)
+    pages = spark.range(12_000).select(key.alias("page_id"), F.concat(F.lit("http://h/"), "id").alias("url"), F.repeat(F.sha2(F.col("id").cast("string"), 512), (F.col("id") % 37).cast("int")).alias("html"))
+    found = []
+    for layout in (pages.repartition(3), pages.repartitionByRange(11, "url"), pages.orderBy(F.desc("url"))):
+        spark.range(1000).repartitionByRange("id").count()
+        made = warc.write_archive(layout, scratch_path(spark, "warc"), shards=shards, roll_bytes=1 << 20).collect()
+        found.append(sorted((m.file, m.part, m.records, m.bytes, m.sha256, m.first_key, m.last_key) for m in made))
+    assert found[0] == found[1] == found[2]
+    assert sum(f[2] for f in found[0]) == 12_000 and len({f[1] for f in found[0]}) == (shards or 9)
+    firsts = [int(f[5] or -(2**63)) for f in found[0]]
+    assert firsts == sorted(firsts)
+
+
+def test_bounds_within_a_hot_key(spark):
+    """A key that holds most rows is cut by digest."""
+    rows = [(1, f"{i:03d}", 400) for i in range(300)] + [(k, "x", 400) for k in range(2, 20)]
+    bounds = warc.shard_bounds(spark.createDataFrame(rows, "key long, digest string, length long"), 10)
+    assert len(bounds) == 10 and bounds[0] == (1, "000") and bounds == sorted(bounds) and sum(k == 1 for k, _ in bounds) >= 9
+    placed = spark.createDataFrame(rows, "key long, digest string, length long").withColumn("part", warc._shard_of(bounds))
+    counts = placed.groupBy("part").count().collect()
+    assert len(counts) == 10 and max(r["count"] for r in counts) <= 33
+
+
 def test_a_broken_file_is_found(spark):
     folder = scratch_path(spark, "warc")
     [made] = warc.write_archive(spark.createDataFrame(rows(), PAGES), folder, shards=1).collect()
