@@ -96,29 +96,40 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical digests of every document and of its edited text."""
+    """Canonical digests of every document and of its edited text.
+
+    Rows that repeat an id with other texts are documents of their own, which
+    follow each other by the SHA-256 of their texts; rows that repeat id and
+    text are one document, each with its own row.
+    """
     least = -(2**63)
-    docs = load(spark, sf_dir, "documents").select(F.coalesce("doc_id", F.lit(least)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    read = docs.select("key", F.length("text").cast("long").alias("n"), fingerprint.canonical(F.col("text")).alias("canon"))
-    hashed = materialize(read.select("key", "n", fingerprint.wide_hash(F.col("canon")).alias("wide")), "digests")
-    groups = materialize(fingerprint.exact_groups(docs, "key", "text", hashed.drop("n")), "groups")
-    chain = materialize(fingerprint.following(hashed.select("key")), "chain")
+    docs = load(spark, sf_dir, "documents").select(F.coalesce("doc_id", F.lit(least)).alias("key"), F.coalesce("text", F.lit("")).alias("text")).withColumn("sha", F.sha2("text", 256))
+    read = docs.select("key", "sha", F.length("text").cast("long").alias("n"), fingerprint.canonical(F.col("text")).alias("canon"))
+    thin = materialize(read.select("key", "sha", "n", fingerprint.wide_hash(F.col("canon")).alias("wide")), "digests")
+    chain = materialize(fingerprint.following(thin.dropDuplicates(["key", "sha"]), ["key", "sha"], ["wide"]), "chain")
     # What each document lends to the one before it: the first quarter of that one's length.
-    needs = hashed.groupBy("key").agg(F.max("n").alias("n")).join(chain, "key").select(F.col("next_key").alias("key"), F.col("key").alias("before"), F.expr("cast(n div 4 as int)").alias("need"))
-    lent = docs.join(needs, "key").select(F.col("before").alias("key"), F.expr("left(text, need)").alias("lent")).groupBy("key").agg(F.min("lent").alias("lent"))
-    quarter = F.expr("cast(length(text) div 4 as int)")
-    edits = docs.join(lent, "key").withColumn("edited", F.expr("concat(left(text, length(text) - cast(length(text) div 4 as int)), left(lent, cast(length(text) div 4 as int)))"))
-    del quarter
-    edits = edits.select("key", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), fingerprint.canonical(F.col("text")).alias("canon"), fingerprint.canonical(F.col("edited")).alias("edited_canon"))
-    edits = edits.select("key", "n_chars", "edited_sha256", fingerprint.wide_hash(F.col("canon")).alias("wide"), fingerprint.wide_hash(F.col("edited_canon")).alias("edited_wide"), (F.col("canon") == F.col("edited_canon")).cast("double").alias("near_edited"))
-    edits = materialize(edits, "edits")
-    by_key = groups.groupBy("key").agg(F.min("fingerprint").alias("fingerprint"), F.min("group").alias("group"))
-    nexts = chain.join(by_key.select(F.col("key").alias("next_key"), F.col("group").alias("next_group")), "next_key")
-    out = edits.join(by_key, "key").join(nexts, "key")
+    needs = chain.select(F.col("next_key").alias("key"), F.col("next_sha").alias("sha"), F.struct(*chain.columns).alias("before"))
+    lent = docs.join(needs, ["key", "sha"]).select("before.*", F.expr("left(text, cast(before.n div 4 as int))").alias("lent"))
+    lent = lent.groupBy("key", "sha").agg(*[F.min(c).alias(c) for c in lent.columns[2:]])
+    edits = docs.join(lent, ["key", "sha"]).withColumn("edited", F.concat(F.expr("left(text, cast(n - n div 4 as int))"), "lent"))
+    edits = edits.select(*chain.columns, F.sha2("edited", 256).alias("edited_sha256"), fingerprint.canonical(F.col("edited")).alias("edited_canon"))
+    edits = materialize(edits.withColumn("edited_wide", fingerprint.wide_hash(F.col("edited_canon"))), "edits")
+    # Texts and edited texts share their buckets.
+    edited = edits.select("key", "sha", F.col("edited_wide").alias("wide"), F.col("edited_canon").alias("canon"))
+    shared = materialize(thin.select("wide").unionAll(edited.select("wide")).groupBy("wide").count().where("count > 1").select("wide"), "shared")
+    rows = docs.select("key", "sha", fingerprint.canonical(F.col("text")).alias("canon")).withColumn("wide", fingerprint.wide_hash(F.col("canon")))
+    mixed = fingerprint.mixed_buckets(rows.select("wide", "canon").unionAll(edited.select("wide", "canon")), shared)
+    if mixed.isEmpty():
+        text_print, edited_print, next_print = (fingerprint.digest_string(F.col(c)) for c in ("wide", "edited_wide", "next_wide"))
+        out = edits.select("*", text_print.alias("fingerprint"), edited_print.alias("edited_fingerprint"), next_print.alias("next_fingerprint"))
+    else:
+        named = materialize(fingerprint.set_apart(rows, mixed).select("key", "sha", "fingerprint").distinct(), "named")
+        nexts = named.select(F.col("key").alias("next_key"), F.col("sha").alias("next_sha"), F.col("fingerprint").alias("next_fingerprint"))
+        edited = fingerprint.set_apart(edited, mixed).select("key", "sha", F.col("fingerprint").alias("edited_fingerprint")).distinct()
+        out = edits.join(named, ["key", "sha"]).join(edited, ["key", "sha"]).join(nexts, ["next_key", "next_sha"])
     return out.select(
-        F.when(F.col("key") > least, F.col("key")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint",
-        F.when(F.col("near_edited") == 1.0, F.col("fingerprint")).otherwise(fingerprint.digest_string(F.col("edited_wide"))).alias("edited_fingerprint"),
-        "near_edited", (F.col("group") == F.col("next_group")).cast("double").alias("near_next"),
+        F.when(F.col("key") > least, F.col("key")).alias("doc_id"), F.col("n").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint",
+        (F.col("fingerprint") == F.col("edited_fingerprint")).cast("double").alias("near_edited"), (F.col("fingerprint") == F.col("next_fingerprint")).cast("double").alias("near_next"),
     )
 
 

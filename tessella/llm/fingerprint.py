@@ -4,7 +4,8 @@ Text is put into Unicode normal form KC, lower-cased, and every run of white
 space becomes one space (none at the ends). Two 64-bit xxhash values of the
 UTF-8 bytes, the second chained on another seed, make a wide digest. Rows of
 equal digests fall into one bucket, where the bytes themselves are compared;
-a row whose bytes differ from its bucket's first text is set apart.
+a row whose bytes differ from its bucket's least text is set apart by a digest
+of its own.
 
 Defined cases: a null text counts as empty; empty texts are equal to each
 other; repeated rows are each kept; an empty table gives an empty table; very
@@ -13,7 +14,7 @@ long texts are hashed whole.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.session import materialize
@@ -43,40 +44,52 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return docs.select(F.col(key).alias("key"), canonical(F.col(text)).alias("canon")).select("key", wide_hash(F.col("canon")).alias("wide"))
 
 
+def mixed_buckets(texts: DataFrame, shared: DataFrame) -> DataFrame:
+    """(wide, least_canon): of the buckets in ``shared``, those whose texts (``wide``, ``canon``) differ in a byte.
+
+    A bucket's texts are all equal if its least is its greatest: tasks reduce
+    their own rows first, so a hot bucket is one row a task.
+    """
+    ends = texts.join(shared.select("wide"), "wide").groupBy("wide").agg(F.min("canon").alias("least_canon"), F.max("canon").alias("most_canon"))
+    return materialize(ends.where("least_canon <> most_canon").select("wide", "least_canon"), "mixed")
+
+
+def set_apart(texts: DataFrame, mixed: DataFrame) -> DataFrame:
+    """``texts`` (``wide``, ``canon``) with ``fingerprint``: in a mixed bucket, texts that are not its least add their own digest."""
+    own = F.col("canon") != F.col("least_canon")
+    plain = digest_string(F.col("wide"))
+    joined = texts.join(mixed, "wide", "left")
+    return joined.withColumn("fingerprint", F.when(own, F.concat(plain, F.lit("-"), F.sha2("canon", 256))).otherwise(plain)).drop("least_canon")
+
+
 def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", hashed: DataFrame | None = None) -> DataFrame:
     """(key, fingerprint, group): group is the smallest key of the documents with equal canonical bytes.
 
-    Only buckets of two rows or more have their texts compared, each with the
-    bucket's first text; the rest of the corpus moves 16 bytes a row. The join
-    that brings the first text is an inner equi-join, which adaptive execution
-    splits where a bucket is hot, and nothing is collected by bucket.
+    Only buckets of two rows or more have their texts compared; the rest of
+    the corpus moves 16 bytes a row, and nothing is collected by bucket.
     """
     hashed = materialize(digests(docs, key, text), "digests") if hashed is None else hashed
     shared = materialize(hashed.groupBy("wide").agg(F.count("*").alias("n"), F.min("key").alias("first")).where("n > 1").drop("n"), "buckets")
     rows = docs.select(F.col(key).alias("key"), canonical(F.col(text)).alias("canon")).withColumn("wide", wide_hash(F.col("canon")))
-    members = rows.join(shared, "wide")
-    # Repeated keys: the least text of the first key speaks for the bucket.
-    firsts = members.where("key <=> first").groupBy("wide").agg(F.min("canon").alias("first_canon"))
-    other = members.join(firsts, "wide").where("canon <> first_canon").select("key", "wide", F.sha2("canon", 256).alias("own"))
-    other = other.groupBy("key", "wide").agg(F.min("own").alias("own"))
-    joined = hashed.join(shared, "wide", "left").join(other, ["key", "wide"], "left")
-    plain = digest_string(F.col("wide"))
-    named = joined.select("key", F.when(F.col("own").isNull(), plain).otherwise(F.concat(plain, F.lit("-"), "own")).alias("fingerprint"), "own", F.coalesce("first", "key").alias("first"))
-    # Texts that only share a digest are a group by their own bytes.
-    apart = named.where("own is not null").groupBy("fingerprint").agg(F.min("key").alias("least"))
-    return named.join(apart, "fingerprint", "left").select("key", "fingerprint", F.coalesce("least", "first").alias("group"))
+    mixed = mixed_buckets(rows, shared)
+    if mixed.isEmpty():
+        return hashed.join(shared, "wide", "left").select("key", digest_string(F.col("wide")).alias("fingerprint"), F.coalesce("first", "key").alias("group"))
+    named = materialize(set_apart(rows, mixed).select("key", "fingerprint"), "named")
+    return named.join(named.groupBy("fingerprint").agg(F.min("key").alias("group")), "fingerprint").select("key", "fingerprint", "group")
 
 
-def following(keys: DataFrame, key: str = "key") -> DataFrame:
-    """(key, next_key) over the distinct keys in ascending order; the first follows the last.
+def following(rows: DataFrame, by: list[str], bring: list[str] | None = None) -> DataFrame:
+    """``rows`` (distinct in ``by``) with ``next_<column>`` for ``by`` and ``bring``: the row after each in ascending order of ``by``, the first after the last.
 
-    Keys are range-partitioned and numbered by partition; a window then runs
+    Rows are range-partitioned and numbered by partition; a window then runs
     inside each partition, and the ends meet through one row a partition.
     """
-    spread = keys.select(key).distinct().repartitionByRange(key).withColumn("part", F.spark_partition_id())
-    spread = materialize(spread, "ranges")
-    inside = spread.withColumn("next_key", F.expr(f"lead({key}) over (partition by part order by {key})"))
-    heads = spread.groupBy("part").agg(F.min(key).alias("head"))
+    carried = [*by, *(bring or [])]
+    spread = materialize(rows.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()), "ranges")
+    own = F.struct(*carried)
+    inside = spread.withColumn("_next", F.lead(own).over(Window.partitionBy("_part").orderBy(*by)))
+    heads = spread.groupBy("_part").agg(F.min_by(own, F.struct(*by)).alias("head"))
     # One row a partition: small, whatever the number of documents.
-    ring = heads.selectExpr("part", "coalesce(lead(head) over (order by part), min(head) over ()) as head")
-    return inside.join(F.broadcast(ring), "part").select(key, F.coalesce("next_key", "head").alias("next_key"))
+    ring = heads.selectExpr("_part", f"coalesce(lead(head) over (order by _part), min_by(head, struct({', '.join('head.' + b for b in by)})) over ()) as head")
+    out = inside.join(F.broadcast(ring), "_part").withColumn("_next", F.coalesce("_next", "head"))
+    return out.select(*rows.columns, *[F.col(f"_next.{c}").alias(f"next_{c}") for c in carried])

@@ -88,22 +88,33 @@ def test_texts_that_share_a_digest_are_set_apart(spark):
     assert got[1][1] == 1 and got[2] == got[3] and got[2][1] == 2 and got[4][1] == 4 and len({f for f, _ in got.values()}) == 3
 
 
-@pytest.mark.parametrize("case", ["edge", "data"])
-def test_op9(spark, docs, tmp_path, case):
+@pytest.mark.parametrize("case", ["edge", "data", "one digest"])
+def test_op9(spark, docs, tmp_path, case, monkeypatch):
     path = SF
-    if case == "edge":
-        docs.where("doc_id <> 5 or doc_id is null").write.parquet(f"{tmp_path}/documents.parquet")
+    if case != "data":
+        more = spark.createDataFrame([(2, "bravo text two"), (2, "charlie other words"), (2, "bravo text two"), (None, "null key too"), (900, "xyz"), (901, "xyz")], "doc_id long, text string")
+        docs.unionByName(more, allowMissingColumns=True).write.parquet(f"{tmp_path}/documents.parquet")
         path = str(tmp_path)
-    rows = sorted(((r.doc_id, r.text or "") for r in spark.read.parquet(f"{path}/documents.parquet").collect()), key=lambda r: (r[0] is not None, r[0] or 0))
-    got = {r.doc_id: r for r in catalog.op9_fingerprint(spark, path).collect()}
-    assert len(got) == len(rows)
+    if case == "one digest":
+        monkeypatch.setattr(fingerprint, "wide_hash", lambda canon: F.struct((F.length(canon) * 0).cast("long").alias("a"), F.lit(2).cast("long").alias("b")))
+    every = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{path}/documents.parquet").collect()]
+    # Rows that repeat id and text are one document; those of one id follow each other by their texts' SHA-256.
+    rows = sorted(set(every), key=lambda r: (r[0] is not None, r[0] or 0, hashlib.sha256(r[1].encode()).hexdigest()))
+    got = [r.asDict() for r in catalog.op9_fingerprint(spark, path).collect()]
+    want, texts = [], {}
     for (key, text), (_, after) in zip(rows, rows[1:] + rows[:1]):
         k = len(text) // 4
         edited = text[: len(text) - k] + after[:k]
-        r = got[key]
-        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-        assert (r.fingerprint, r.edited_fingerprint) == (digest(text), digest(edited))
-        assert (r.near_edited, r.near_next) == (float(canon(text) == canon(edited)), float(canon(text) == canon(after)))
+        row = (key, len(text), hashlib.sha256(edited.encode()).hexdigest(), digest(text), digest(edited), float(canon(text) == canon(edited)), float(canon(text) == canon(after)))
+        want += [row] * every.count((key, text))
+        texts[row[:3]] = (canon(text), canon(edited))
+    if case != "one digest":
+        assert sorted([tuple(r.values()) for r in got], key=repr) == sorted(want, key=repr)
+        return
+    # All texts share a digest: they are told apart by their bytes, across both columns.
+    assert sorted([tuple(r.values())[:3] + tuple(r.values())[5:] for r in got], key=repr) == sorted([w[:3] + w[5:] for w in want], key=repr)
+    prints = [(f, c) for r in got for f, c in zip((r["fingerprint"], r["edited_fingerprint"]), texts[r["doc_id"], r["n_chars"], r["edited_sha256"]])]
+    assert len({f for f, _ in prints}) == len({c for _, c in prints}) == len(set(prints))
 
 
 def test_chat_round_trip(spark):
