@@ -84,9 +84,9 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every document, learnt from nine tenths of them."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 != 0, F.lit(True)).alias("train"))
-    scored = lm.score_documents(docs, "train", lm.vocabulary(_public("piece_bpe_32k.model")), kind="lang")
-    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 != 0, F.lit(True)).alias("train"))
+    scored = lm.score_documents(docs, "train", lm.vocabulary(_public("piece_bpe_32k.model")))
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score")
 
 
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

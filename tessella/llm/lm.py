@@ -6,16 +6,19 @@ path of a lattice, a path's probability is the product of its pieces'
 probabilities, and the log-space forward recursion sums all paths. Characters
 without a piece of their own are spelt by the vocabulary's byte pieces.
 
-The public file ranks its pieces; in proportion to 1 / (rank + 10) they give
-the first probabilities, and ``rounds`` of expectation-maximisation over all
-distinct training words fit them to the corpus. Words seen in training are
-arcs of the lattice too: such an arc weighs its count less ``DISCOUNT``, and
-the mass so freed weighs all paths of subwords. One end closes a document.
-
-A corpus has kinds of documents (``kind``: say, its language); the model learns
-one lattice for each of the ``KINDS`` most frequent and one for the rest, and a
-document's probability is the mixture over kinds, weighed by their shares in
-training. When a document is scored its own kind is not looked at.
+The public file ranks its pieces; 1 / (rank + 10), normalised, are their
+probabilities. Under these alone a document has its ``lattice_score``, which
+owes nothing to the corpus but the vocabulary's choice. For ``score``,
+``rounds`` of expectation-maximisation over all distinct training words fit
+them to the corpus, and words seen in training are arcs of the lattice too:
+such an arc weighs its count less ``DISCOUNT``, and the mass so freed weighs
+all paths of subwords. One end closes a document.
+
+As an option, a corpus has kinds of documents (``kind``: a column of few
+values, such as a language): the model then learns one lattice for each kind
+that training has, and a document's probability is the mixture over kinds,
+weighed by their shares in training. When a document is scored its own kind is
+not looked at. There is no limit on kinds but the columns they take.
 
 Beside that stands a base: counts of whole words, smoothed by 0.1.
 
@@ -31,6 +34,7 @@ gives an empty table.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -42,11 +46,12 @@ from pyspark.sql import functions as F
 from tessella.session import materialize
 
 MARK = "▁"
-SHARE = 1e-6
+SHARE = 4e-6
 SMOOTH = 0.1
 ROUNDS = 2
 DISCOUNT = 0.75
-KINDS = 6
+#: Characters beyond which a word is walked by itself.
+LONG = 2000
 #: Words held by a counting task before it passes them on.
 HELD = 120_000
 #: Documents whose words are held at once.
@@ -136,21 +141,28 @@ class Lattice:
         return np.array(cost)[at.reshape(points.shape)] if points.size else np.zeros(points.shape)
 
     def _arcs(self, points: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(from, to, words, their pieces) for words of one length, by ``to``."""
+        """(from, to, words, their pieces) for words of one length, by ``to``; places are sought all at once, length by length."""
         n, width = points.shape
-        arcs = []
-        for i in range(width):
-            rows, h = np.arange(n), np.zeros(n, dtype=np.uint64)
-            for j in range(i + 1, min(width, i + self.longest) + 1):
-                h = _hash(points[rows, j - 1], h)
-                ids = self.find(h)
-                whole = ids >= 0
-                if whole.any():
-                    arcs.append((i, j, rows[whole], ids[whole]))
-                rows, h = rows[ids != -1], h[ids != -1]
-                if not len(rows):
-                    break
-        return sorted(arcs, key=lambda a: a[1])
+        row, start = np.repeat(np.arange(n), width), np.tile(np.arange(width), n)
+        h, found = np.zeros(n * width, dtype=np.uint64), []
+        for size in range(1, min(width, self.longest) + 1):
+            fits = start + size <= width
+            row, start, h = row[fits], start[fits], h[fits]
+            h = _hash(points[row, start + size - 1], h)
+            ids = self.find(h)
+            whole = ids >= 0
+            found.append((start[whole] + size, start[whole], row[whole], ids[whole]))
+            row, start, h = row[ids != -1], start[ids != -1], h[ids != -1]
+            if not len(row):
+                break
+        if not found:
+            return []
+        to, at, row, ids = (np.concatenate(part) for part in zip(*found))
+        order = np.lexsort((row, at, to))
+        to, at, row, ids = to[order], at[order], row[order], ids[order]
+        cuts = np.flatnonzero((np.diff(to) != 0) | (np.diff(at) != 0)) + 1
+        heads = np.concatenate([[0], cuts]) if len(to) else cuts
+        return list(zip(at[heads].tolist(), to[heads].tolist(), np.split(row, cuts), np.split(ids, cuts))) if len(to) else []
 
     def _batches(self, words: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
         """Words of one length together, as code points behind their mark."""
@@ -189,6 +201,13 @@ class Lattice:
         n, width = points.shape
         ahead = np.full((len(logp), width + 1, n), -np.inf)
         ahead[:, 0] = 0
+        if n == 1 and width > LONG:
+            by_end: dict[int, list[tuple[int, int]]] = {}
+            for i, j, _, ids in arcs:
+                by_end.setdefault(j, []).append((i, int(ids[0])))
+            for k, row in enumerate(logp):
+                _walk(ahead[k, :, 0], range(1, width + 1), by_end, spelt[k, 0], row, -1)
+            return ahead
         at = 0
         for j in range(1, width + 1):
             own = np.isfinite(spelt[0, :, j - 1])
@@ -205,26 +224,46 @@ class Lattice:
         n, width = points.shape
         rear = np.full((width + 1, n), -np.inf)
         rear[width] = 0
-        byte, pieces, shares = self.size - 257, [], []
-        arcs = sorted(arcs, key=lambda a: -a[0])
-        at = 0
-        for i in range(width - 1, -1, -1):
-            own = np.flatnonzero(np.isfinite(spelt[:, i]))
-            if len(own):
+        if n == 1 and width > LONG:
+            by_start: dict[int, list[tuple[int, int]]] = {}
+            for i, j, _, ids in arcs:
+                by_start.setdefault(i, []).append((j, int(ids[0])))
+            _walk(rear[:, 0], range(width - 1, -1, -1), by_start, spelt[0], self.logp, 1)
+        else:
+            arcs = sorted(arcs, key=lambda a: -a[0])
+            at = 0
+            for i in range(width - 1, -1, -1):
+                own = np.isfinite(spelt[:, i])
                 rear[i, own] = rear[i + 1, own] + spelt[own, i]
-                share = np.exp(ahead[i, own] + rear[i, own] - ahead[width, own]) * weight[own]
-                for k, x in zip(own.tolist(), share.tolist()):
-                    for b in chr(int(points[k, i])).encode("utf-8", "replace"):
-                        used[byte + b] += x
-            while at < len(arcs) and arcs[at][0] == i:
-                _, j, rows, ids = arcs[at]
-                rest = rear[j, rows] + self.logp[ids]
-                rear[i, rows] = np.logaddexp(rear[i, rows], rest)
-                pieces.append(ids)
-                shares.append(np.exp(ahead[i, rows] + rest - ahead[width, rows]) * weight[rows])
-                at += 1
-        if pieces:
-            used += np.bincount(np.concatenate(pieces), weights=np.concatenate(shares), minlength=self.size)
+                while at < len(arcs) and arcs[at][0] == i:
+                    _, j, rows, ids = arcs[at]
+                    rear[i, rows] = np.logaddexp(rear[i, rows], rear[j, rows] + self.logp[ids])
+                    at += 1
+        row, place = np.nonzero(np.isfinite(spelt))
+        share = np.exp(ahead[place, row] + spelt[row, place] + rear[place + 1, row] - ahead[width, row]) * weight[row]
+        known, which = np.unique(points[row, place], return_inverse=True)
+        for c, x in zip(known.tolist(), np.bincount(which, weights=share, minlength=len(known)).tolist()):
+            for b in chr(c).encode("utf-8", "replace"):
+                used[self.size - 257 + b] += x
+        if arcs:
+            size = [len(a[2]) for a in arcs]
+            start, end = np.repeat([a[0] for a in arcs], size), np.repeat([a[1] for a in arcs], size)
+            row, ids = np.concatenate([a[2] for a in arcs]), np.concatenate([a[3] for a in arcs])
+            share = np.exp(ahead[start, row] + self.logp[ids] + rear[end, row] - ahead[width, row]) * weight[row]
+            used += np.bincount(ids, weights=share, minlength=self.size)
+
+
+def _walk(out: np.ndarray, places: range, arcs: dict[int, list[tuple[int, int]]], spelt: np.ndarray, logp: np.ndarray, back: int) -> None:
+    """The recursion over one long word, place by place: ``out`` holds the log probability of all paths, ``arcs`` (other end, piece) by place."""
+    sums, alone = out.tolist(), spelt.tolist()
+    for j in places:
+        ways = [sums[i] + logp[piece] for i, piece in arcs.get(j, ())]
+        char = alone[j - 1 if back < 0 else j]
+        if char != -math.inf:
+            ways.append(sums[j + back] + char)
+        top = max(ways)
+        sums[j] = top if len(ways) == 1 or top == -math.inf else top + math.log(sum(math.exp(w - top) for w in ways))
+    out[:] = sums
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,15 +341,18 @@ def fit(counts: DataFrame, pieces: list[str], kinds: int, rounds: int = ROUNDS)
 
 
 def _score_words(pieces: list[str], logp: np.ndarray, sums: np.ndarray, types: np.ndarray):
-    """Log10 probability of each word by kind: s0, s1, ... ; sums and types are each kind's tokens and distinct words."""
-    names = [f"s{k}" for k in range(len(logp))]
+    """Log10 probability of each word under the vocabulary alone (plain) and by kind: s0, s1, ... ; sums and types are each kind's tokens and distinct words."""
+    names = ["plain", *(f"s{k}" for k in range(len(logp)))]
     freed = np.where(types > 0, DISCOUNT * types, 1) / np.maximum(sums, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(pieces)
+        rows = np.vstack([lattice.logp, logp])
         for batch in _gathered(batches):
-            words, out = batch.column(0).to_pylist(), []
-            for k, paths in enumerate(lattice.score_kinds(words, logp)):
+            words = batch.column(0).to_pylist()
+            plain, *kinds = lattice.score_kinds(words, rows)
+            out = [pa.array(plain / np.log(10))]
+            for k, paths in enumerate(kinds):
                 own = np.maximum(batch.column(k + 1).to_numpy() - DISCOUNT, 0) / max(sums[k], 1)
                 with np.errstate(divide="ignore"):
                     out.append(pa.array(np.logaddexp(np.log(own), np.log(freed[k]) + paths) / np.log(10)))
@@ -322,9 +364,9 @@ def _score_words(pieces: list[str], logp: np.ndarray, sums: np.ndarray, types: n
 def _score_docs(common, end: np.ndarray):
     """Sums over each text's common words, and one row for each of its other words.
 
-    ``common`` has the places of words and, by place, (known, base, s0, ...); ``end`` is such a row.
+    ``common`` has the places of words and, by place, (known, base, plain, s0, ...); ``end`` is such a row.
     """
-    names = ["row", "key", "train", "tokens", *_numbers(len(end) - 2), "word", "times"]
+    names = ["row", "key", "train", "tokens", *_numbers(len(end) - 3), "word", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, table = common.value
@@ -355,22 +397,22 @@ def _score_docs(common, end: np.ndarray):
 
 
 def _numbers(kinds: int) -> list[str]:
-    return ["known", "base", *[f"s{k}" for k in range(kinds)]]
+    return ["known", "base", "plain", *[f"s{k}" for k in range(kinds)]]
 
 
-def kinds_of(docs: DataFrame, train: str, kind: str | None, most: int = KINDS) -> tuple[DataFrame, int]:
-    """``docs`` with ``k``, the number of its kind among ``most`` frequent ones and the rest (-1: not for training)."""
+def kinds_of(docs: DataFrame, train: str, kind: str | None) -> tuple[DataFrame, int]:
+    """``docs`` with ``k``, the number of its kind among those of training rows (-1: not for training)."""
     if kind is None:
         return docs.withColumn("k", F.when(F.col(train), 0).otherwise(-1)), 1
-    top = docs.where(F.col(train)).groupBy(F.col(kind).cast("string").alias("kind")).count().orderBy(F.desc("count"), "kind").limit(most + 1).collect()
-    k = F.lit(min(most, len(top) - 1) if top else 0)
-    for i, r in enumerate(top[:most]):
+    found = docs.where(F.col(train)).select(F.col(kind).cast("string").alias("kind")).distinct().orderBy("kind").collect()
+    k = F.lit(0)
+    for i, r in enumerate(found):
         k = F.when(F.col(kind).cast("string").eqNullSafe(F.lit(r.kind)), i).otherwise(k)
-    return docs.withColumn("k", F.when(F.col(train), k).otherwise(-1)), max(1, len(top))
+    return docs.withColumn("k", F.when(F.col(train), k).otherwise(-1)), max(1, len(found))
 
 
 def score_documents(docs: DataFrame, train: str, pieces: list[str], kind: str | None = None, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, share: float = SHARE) -> DataFrame:
-    """key, train flag, n_tokens, n_known, train_tokens, base_score and score (log10) of every row of ``docs``."""
+    """key, train flag, n_tokens, n_known, train_tokens, base_score, lattice_score and score (log10) of every row of ``docs``."""
     spark = docs.sparkSession
     marked, kinds = kinds_of(docs, train, kind)
     counts = materialize(word_counts(marked, kinds, text), "counts")
@@ -380,7 +422,7 @@ def score_documents(docs: DataFrame, train: str, pieces: list[str], kind: str |
     sums, types, ends = (np.array([total[p + t] or 0 for t in ts]) for p in ("", "v", "e"))
     n, divisor = int(sums.sum()), sums.sum() + SMOOTH * (total.v + 1)
     logp = fit(counts, pieces, kinds, rounds if n else 0)
-    columns = ", ".join([*(f"{t} long" for t in ts), "uses long", *(f"s{k} double" for k in range(kinds))])
+    columns = ", ".join([*(f"{t} long" for t in ts), "uses long", "plain double", *(f"s{k} double" for k in range(kinds))])
     words = counts.where(own).mapInArrow(_score_words(pieces, logp, sums, types), f"word string, {columns}")
     seen = F.expr(" + ".join(ts))
     numbers = _numbers(kinds)
@@ -391,7 +433,7 @@ def score_documents(docs: DataFrame, train: str, pieces: list[str], kind: str |
     table = common[numbers].to_numpy(dtype=float).reshape(len(common), len(numbers))
     places = {w.encode(): i for i, w in enumerate(common["word"])}
     log_end = np.log10(np.where(ends > 0, ends, SMOOTH) / np.maximum(sums, 1))
-    end = np.array([float(ends.sum() > 0), np.log10((ends.sum() + SMOOTH) / divisor), *log_end])
+    end = np.array([float(ends.sum() > 0), np.log10((ends.sum() + SMOOTH) / divisor), Lattice(pieces).logp[-1] / np.log(10), *log_end])
     named = marked.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(train).alias("train"), F.col(text).alias("text"))
     schema = f"row long, key {docs.schema[key].dataType.simpleString()}, train boolean, tokens long, {', '.join(c + ' double' for c in numbers)}, word string, times long"
     found = materialize(named.mapInArrow(_score_docs(spark.sparkContext.broadcast((places, table)), end), schema), "sums")
@@ -403,4 +445,4 @@ def score_documents(docs: DataFrame, train: str, pieces: list[str], kind: str |
     each = [F.col(f"s{k}") + float(prior[k]) for k in range(kinds)]
     top = F.greatest(*each) if kinds > 1 else each[0]
     score = top + F.log10(sum((F.pow(F.lit(10.0), e - top) for e in each), F.lit(0.0)))
-    return out.select(F.col("key").alias(key), "train", F.col("tokens").alias("n_tokens"), F.round("known").cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), score.alias("score"))
+    return out.select(F.col("key").alias(key), "train", F.col("tokens").alias("n_tokens"), F.round("known").cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("plain").alias("lattice_score"), score.alias("score"))

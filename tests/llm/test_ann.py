@@ -66,3 +66,43 @@ def test_queue_probes_nearest_leaves_first_across_trees():
         assert probes[:4] == [(t, own[t, i]) for t in range(4)]  # its own leaf of every tree costs nothing
         assert len(set(probes)) == 40
     assert np.bincount(forest.leaves(sample)[0]).max() <= 80
+
+
+REAL = ann.calibrated
+
+
+def recall_and_share(spark, vectors, monkeypatch, **sizes):
+    """Recall against brute force and the share of all vectors that a query's leaves hold."""
+    probed = []
+    real = REAL
+    monkeypatch.setattr(ann, "calibrated", lambda forest, *a, **kw: probed.append((forest, real(forest, *a, **kw))) or probed[0][1])
+    rows = dict(enumerate(vectors.tolist()))
+    frame = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<float>")
+    want = brute(dict(enumerate(vectors.astype(np.float32))), [i for i in rows if i % 50 == 0], 10)
+    got = {}
+    for r in ann.nearest(frame, F.col("id") % 50 == 0, **sizes).collect():
+        got.setdefault(r.query_id, set()).add(r.id)
+    forest, n = probed[0]
+    own = [{(t, leaf) for t, leaf in forest.probe(vectors[q].astype(np.float32), n)} for q in want]
+    leaves = forest.leaves(vectors.astype(np.float32))
+    share = np.mean([np.mean(np.any([np.isin(leaves[t], [x for s, x in o if s == t]) for t in range(len(leaves))], axis=0)) for o in own])
+    return np.mean([len({i for _, i in want[q]} & got[q]) / 10 for q in want]), share, forest
+
+
+def test_probes_follow_the_vectors(spark, monkeypatch):
+    """Clustered vectors take a small share of the table, vectors without structure a large one; trees reach below their own directions."""
+    monkeypatch.setattr(ann, "OWN_LEVELS", 3)
+    rng = np.random.default_rng(5)
+    clustered = rng.standard_normal((200, 32))[rng.integers(0, 200, 8000)] + 0.15 * rng.standard_normal((8000, 32))
+    recall, share, forest = recall_and_share(spark, clustered, monkeypatch, leaf=64, part=40)
+    assert recall >= 0.9 and share < 0.1 and forest.depth == 7
+    recall, share, _ = recall_and_share(spark, rng.standard_normal((8000, 32)), monkeypatch, leaf=64)
+    assert recall >= 0.9 and 0.1 < share < 0.8
+
+
+def test_depth_follows_the_table_as_far_as_the_sample_bears():
+    sample = np.random.default_rng(1).standard_normal((1000, 4)).astype(np.float32)
+    assert ann.Forest(sample, 1, 10, rows=1000).depth == 7
+    assert ann.Forest(sample, 1, 10, rows=10**9).depth == 7
+    assert ann.Forest(sample, 1, 100, rows=1000).depth == 4
+    assert ann.Forest(sample[:0], 2).depth == 0

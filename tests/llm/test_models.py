@@ -48,6 +48,56 @@ def test_forward_sums_all_segmentations():
     assert abs((used[: len(pieces)] * sizes).sum() + spelt - letters - 2 + 0) < 1e-6 or spelt > 0
 
 
+def brute_expect(word, lattice, pieces):
+    """Expected uses of each piece: the difference that its log probability makes to that of the word."""
+    out = np.zeros(lattice.size)
+    for i in range(lattice.size - 1):
+        if i < len(pieces) or (i - len(pieces)) in (lm.MARK + word).encode():
+            near = [lm.Lattice(pieces, lattice.logp + d * (np.arange(lattice.size) == i)).score([word])[0][0] for d in (1e-5, -1e-5)]
+            out[i] = (near[0] - near[1]) / 2e-5
+    return out
+
+
+@pytest.mark.parametrize("long", [2, 2000])
+def test_expected_uses(monkeypatch, long):
+    """Words walked by themselves and words taken together give the same."""
+    monkeypatch.setattr(lm, "LONG", long)
+    pieces = [lm.MARK, lm.MARK + "a", "a", "ab", "b", lm.MARK + "ab", "ba", "aba", "é"]
+    lattice = lm.Lattice(pieces)
+    for word in ("abab", "babaéb", "c中ab"):
+        score, used = lattice.score([word], np.ones(1))
+        np.testing.assert_allclose(score, math.log(brute_word(word, lattice, pieces)))
+        np.testing.assert_allclose(used, brute_expect(word, lattice, pieces), atol=1e-4)
+
+
+def test_a_word_of_100000_characters_takes_seconds():
+    import time
+
+    lattice = lm.Lattice(lm.vocabulary(P.path("piece_bpe_32k.model")))
+    began = time.perf_counter()
+    score, used = lattice.score(["thing" * 20_000], np.ones(1))
+    assert np.isfinite(score[0]) and time.perf_counter() - began < 30
+    half = lattice.score(["thing" * 10_000])[0][0]
+    assert abs(score[0] / half - 2) < 0.01 and used.sum() > 10_000
+
+
+def test_score_against_brute_force(spark):
+    """Word arcs, freed mass, lattice and end, put together by hand."""
+    pieces = [lm.MARK, "a", "b", "ab", "ba", lm.MARK + "a"]
+    texts = [(1, "ab ab ba", True), (2, "a", True), (3, None, True), (4, "ab abab c", False), (5, "", False), (6, "AB b", True)]
+    out = {r.doc_id: r for r in lm.score_documents(spark.createDataFrame(texts, "doc_id long, text string, train boolean"), "train", pieces, rounds=0).collect()}
+    lattice = lm.Lattice(pieces)
+    counts = Counter(w for _, t, train in texts if train for w in (t or "").lower().split())
+    ends = sum(train for *_, train in texts)
+    total = counts.total() + ends
+    for key, text, _ in texts:
+        words = (text or "").lower().split()
+        paths = {w: brute_word(w, lattice, pieces) for w in words}
+        plain = sum(math.log10(paths[w]) for w in words) + lattice.logp[-1] / math.log(10)
+        full = sum(math.log10(max(counts[w] - lm.DISCOUNT, 0) / total + lm.DISCOUNT * len(counts) / total * paths[w]) for w in words) + math.log10(ends / total)
+        assert math.isclose(out[key].lattice_score, plain) and math.isclose(out[key].score, full)
+
+
 def test_expectation_raises_likelihood():
     pieces = lm.vocabulary(P.path("piece_bpe_32k.model"))
     words, n = ["thing", "things", "nothing", "singing", "th"], np.array([5.0, 3, 2, 2, 9])
