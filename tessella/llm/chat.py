@@ -55,12 +55,13 @@ def format_chat(turns: DataFrame, assistant: str = "assistant") -> DataFrame:
     # The rendered turns stand in order; `at` counts code points before each turn.
     conv = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     rendered = F.transform("ts", lambda t: F.concat(t["opening"], t["body"], F.lit(END)))
-    conv = conv.select("conv_id", "ts", rendered.alias("rendered"), F.expr(f"filter(sequence(1, size(ts)), i -> ts[i - 1].role = '{assistant}')").alias("replies"))
+    replies = F.filter(F.sequence(F.lit(1), F.size("ts")), lambda i: F.element_at("ts", i)["role"] == F.lit(assistant))
+    conv = conv.select("conv_id", "ts", rendered.alias("rendered"), replies.alias("replies"))
     n = F.size("ts")
     closed = F.when((F.size("replies") > 0) & (F.element_at("replies", -1) == n), F.col("replies")).otherwise(F.concat("replies", F.array(n)))
     each = conv.withColumn("n", n).select("conv_id", "ts", "rendered", "n", F.posexplode(closed).alias("example", "upto"))
     target = F.expr("ts[upto - 1]")
-    reply = target["role"] == assistant
+    reply = target["role"] == F.lit(assistant)
     context = F.concat_ws("", F.slice("rendered", F.lit(1), F.col("upto") - 1))
     return each.select(
         "conv_id", F.col("example").cast("long").alias("example"), (F.col("upto") == F.col("n")).alias("is_last"),

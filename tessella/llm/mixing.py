@@ -4,8 +4,9 @@ The token share of each source is raised to an exponent and normalised. The
 exponent is the smallest in [0, 1] at which the mixture's entropy is at most
 ``entropy`` of the greatest possible (the logarithm of the number of sources),
 and no source is read more than ``max_repeats`` times; it is found by
-bisection, as a fold over an array inside the plan. The exponent 1 (natural
-shares) is taken where even that cannot meet both.
+bisection, ``WAYS`` - 1 cuts of the interval at a time, each round one
+aggregate over the table of sources, however many these are. The exponent 1
+(natural shares) is taken where even that cannot meet both.
 
 The weights are realised in blocks. With a budget of tokens (``budget`` of all
 tokens), a source of weight w gets w of it: as many whole passes as fit, then
@@ -25,13 +26,16 @@ gives an empty mixture; extra columns pass through unless they clash.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
-STEPS = 50
+#: Parts of the interval in a round, and rounds: 32 ** 10 = 2 ** 50.
+WAYS, ROUNDS = 32, 10
 SLICE = 4096
 
 
@@ -44,36 +48,45 @@ def permutation_hash(seed: str, source, block, key):
     return F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(source, F.lit("")), block.cast("string"), F.coalesce(key.cast("string"), F.lit(""))))
 
 
+def exponent_of(sums: DataFrame, entropy: float, max_repeats: float, budget: float) -> tuple[float, float, int]:
+    """(exponent, norm, all tokens) from (source, tokens); the driver gets one row of sums a round."""
+    whole = sums.agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"), F.min("tokens").alias("least")).first()
+    if not whole.n:
+        return 1.0, 1.0, 0
+    share = F.col("tokens") / F.lit(float(whole.tokens))
+    rare = whole.least / whole.tokens  # the source read most often, as exponents are at most 1
+
+    def sums_at(exponents: list[float]) -> list[tuple[float, float]]:
+        power = [F.pow(share, F.lit(a)) for a in exponents]
+        row = sums.agg(*[F.sum(p) for p in power], *[F.sum(p * F.ln(share)) for p in power]).first()
+        return list(zip(row[: len(exponents)], row[len(exponents) :]))
+
+    def fits(a: float, norm: float, dot: float) -> bool:
+        # With z the sum of p^a: entropy = ln z - a * sum(p^a * ln p) / z; a source of share p is read (budget * p^(a - 1) / z) times.
+        return math.log(norm) - a * dot / norm <= entropy * math.log(whole.n) and budget * rare ** (a - 1) / norm <= max_repeats
+
+    low, high = 0.0, 1.0
+    if fits(0.0, *sums_at([0.0])[0]):
+        high = 0.0
+    for _ in range(ROUNDS if high else 0):
+        cuts = [low + (high - low) * i / WAYS for i in range(1, WAYS)]
+        good = [fits(a, *s) for a, s in zip(cuts, sums_at(cuts))]
+        first = good.index(True) if True in good else len(cuts)
+        low, high = ([low, *cuts][first], [*cuts, high][first])
+    exponent = round(high, 6)
+    return exponent, sums_at([exponent])[0][0], whole.tokens
+
+
 def source_plan(counted: DataFrame, entropy: float = 0.95, max_repeats: float = 4.0, budget: float = 1.0) -> DataFrame:
     """(source, docs, tokens, exponent, weight, passes, rest): one row for each source that has tokens.
 
-    ``counted`` has source and tokens by document. The shares of all sources
-    stand in one array, so their number should stay in the hundred thousands.
+    ``counted`` has source and tokens by document.
     """
-    sums = counted.groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens")).where("tokens > 0")
-    all_tokens = sums.agg(F.sum("tokens").alias("all_tokens"), F.sort_array(F.collect_list("tokens")).alias("ts"))
-    shares = all_tokens.withColumn("ps", F.expr("transform(ts, t -> t / cast(all_tokens as double))"))
-    powers = "transform(ps, p -> power(p, {a}))"
-    total = "aggregate({xs}, cast(0 as double), (s, x) -> s + x)"
-
-    def fits(a: str) -> str:
-        xs = powers.format(a=a)
-        norm = total.format(xs=xs)
-        # With z the sum of p^a: entropy = ln z - a * sum(p^a * ln p) / z; a source of share p is read (budget * p^(a - 1) / z) times.
-        dot = total.format(xs=f"transform(ps, p -> power(p, {a}) * ln(p))")
-        worst = f"array_max(transform(ps, p -> power(p, {a} - 1)))"
-        return f"(ln({norm}) - {a} * {dot} / {norm} <= {entropy} * ln(cast(size(ps) as double)) and {budget} * {worst} / {norm} <= {max_repeats})"
-
-    mid = "((r.lo + r.hi) / 2)"
-    bisect = (
-        f"if({fits('cast(0 as double)')}, cast(0 as double), aggregate(sequence(1, {STEPS}), named_struct('lo', cast(0 as double), 'hi', cast(1 as double)), "
-        f"(r, i) -> if({fits(mid)}, named_struct('lo', r.lo, 'hi', {mid}), named_struct('lo', {mid}, 'hi', r.hi)), r -> r.hi))"
-    )
-    one = shares.withColumn("exponent", F.round(F.expr(bisect), 6)).withColumn("norm", F.expr(total.format(xs=powers.format(a="exponent"))))
-    one = one.select(F.struct("all_tokens", "exponent", "norm").alias("one"))
-    weight = F.expr("power(tokens / cast(all_tokens as double), exponent) / norm")
-    planned = sums.withColumn("one", one.scalar()).select("*", "one.*").withColumn("weight", weight)
-    planned = planned.withColumn("drawn", F.expr(f"cast(floor(weight * {budget} * all_tokens + 0.5) as bigint)"))
+    sums = materialize(counted.groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens")).where("tokens > 0"), "sources")
+    exponent, norm, tokens = exponent_of(sums, entropy, max_repeats, budget)
+    weight = F.pow(F.col("tokens") / F.lit(float(tokens)), F.lit(exponent)) / F.lit(norm)
+    planned = sums.withColumn("exponent", F.lit(exponent)).withColumn("weight", weight)
+    planned = planned.withColumn("drawn", F.floor(F.col("weight") * budget * F.lit(tokens) + 0.5).cast("long"))
     return planned.select("source", "docs", "tokens", "exponent", "weight", F.expr("drawn div tokens").alias("passes"), F.expr("drawn % tokens").alias("rest"))
 
 

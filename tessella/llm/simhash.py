@@ -96,20 +96,27 @@ def _forest(bits: np.ndarray, table: np.ndarray, most: int) -> np.ndarray:
     """For each fingerprint of a large file, the first of those it is linked with, directly or not."""
     order = np.argsort(table[:, 0], kind="stable")
     bits, table = bits[order], table[order]
-    label = np.arange(len(bits))
+    parent = np.arange(len(bits))
+
+    def roots(at: np.ndarray) -> np.ndarray:
+        while True:
+            above = parent[at]
+            if (above == at).all():
+                return at
+            at = above
+
     reach = np.searchsorted(table[:, 0], table[:, 0] + most, side="right")
     for i in range(len(bits) - 1):
         near = np.arange(i + 1, reach[i])
         if not len(near):
             continue
         _, near = _survivors(bits, table, np.full(len(near), i), near, most)
-        other = np.unique(label[near])
-        other = other[other != label[i]]
-        if len(other):
-            low = min(label[i], other[0])
-            label[np.isin(label, np.append(other, label[i]))] = low
+        if len(near):
+            near = np.append(near, i)
+            tops = roots(near)
+            parent[tops] = parent[near] = tops.min()
     out = np.empty(len(bits), dtype=np.int64)
-    out[order] = order[label]
+    out[order] = order[roots(np.arange(len(bits)))]
     return out
 
 

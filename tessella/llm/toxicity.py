@@ -205,7 +205,7 @@ def _descend(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, own: np.n
         g_out, g_bias = mean.T @ p, p.sum(axis=0)
         for d in range(dim):
             grad = np.bincount(ids, weights=share * back[row, d], minlength=len(kept) + 1)
-            grad += DECAY * emb[d] * (grad != 0)
+            grad = grad + DECAY * emb[d] * (grad != 0)
             grad[-1] = 0
             sq_emb[d] += grad**2
             emb[d] -= step * grad / np.sqrt(sq_emb[d])
