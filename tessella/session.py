@@ -28,20 +28,38 @@ def get_session(app: str = "tessella", master: str | None = None, **conf: str) -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, the warehouse, or for a local master a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     own = spark.conf.get("spark.tessella.sharedDir", None)
     if not own:
-        own = "file://" + tempfile.mkdtemp(prefix="tessella-")
+        local = spark.sparkContext.master.startswith("local")
+        own = "file://" + tempfile.mkdtemp(prefix="tessella-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
         spark.conf.set("spark.tessella.sharedDir", own)
     return own
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The application's own part of the shared folder. Its file system removes it when the application ends."""
+    path = f"{shared_dir(spark)}/tessella/{spark.sparkContext.applicationId}"
+    if spark.conf.get("spark.tessella.scratchDir", None) != path:
+        target, files = _hadoop(spark, path)
+        files.mkdirs(target)
+        files.deleteOnExit(target)
+        spark.conf.set("spark.tessella.scratchDir", path)
+    return path
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/tessella/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """The path and its file system, as Java objects."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
@@ -59,9 +77,13 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
 
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a scratch table."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    target, files = _hadoop(spark, path)
+    files.delete(target, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application; results that still read them are lost."""
+    delete_path(spark, scratch_dir(spark))
 
 
 def drop_scratch(df: DataFrame) -> None:
