@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.text import grams_of
+from tessella.operators.neighbours import running_total
 
 
 def ranking(cases: DataFrame, rank: str, cutoffs: tuple[int, ...] = (1, 5, 8), depth: int = 8) -> DataFrame:
@@ -36,14 +37,14 @@ def group_recall(cases: DataFrame, groups: str, predictions: str, cutoffs: tuple
 def percentiles(rows: DataFrame, value: str, q: float = 0.95, by: str | None = None) -> DataFrame:
     """Three definitions: place ceil(nq) - 1, round((n - 1)q) and int(nq), each within the sorted values.
 
-    The places are found by a running count over distinct values, so no group
-    is gathered in one row.
+    The places are found by a running count over distinct values, in ranges of
+    them, so no group is gathered in one row or task.
     """
-    from pyspark.sql import Window
-
     keys = [by] if by else []
     counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    run = counts.withColumn("upto", F.sum("c").over(Window.partitionBy(*keys).orderBy("v"))).withColumn("n", F.sum("c").over(Window.partitionBy(*keys)))
+    run = running_total(counts, keys, ["v"], "c", "upto")
+    sizes = counts.groupBy(*keys).agg(F.sum("c").alias("n"))
+    run = run.join(sizes.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by"))).drop("_by") if by else run.withColumn("n", sizes.scalar())
     at = {"p_ceil": F.greatest(F.ceil(F.col("n") * q) - 1, F.lit(0)), "p_round": F.bround((F.col("n") - 1) * q, 0).cast("long"), "p_int": F.least((F.col("n") * q).cast("long"), F.col("n") - 1)}
     return run.groupBy(*keys).agg(F.max("n").alias("n"), *[F.min(F.when(F.col("upto") > place, F.col("v"))).alias(name) for name, place in at.items()])
 

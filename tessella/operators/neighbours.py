@@ -1,4 +1,4 @@
-"""The row before each row of its group, without a task that holds a whole group."""
+"""The row before each row of its group, and running totals, without a task that holds a whole group."""
 
 from __future__ import annotations
 
@@ -26,3 +26,23 @@ def previous(rows: DataFrame, by: str, order: str, bring: list[str]) -> DataFram
     joined = placed.join(ends, F.col("_first") & (F.col("_part") == F.col("_p")) & F.col(by).eqNullSafe(F.col("_by")), "left")
     found = F.coalesce("_prev", "_tail")
     return joined.select(*rows.columns, *[found[c].alias(f"prev_{c}") for c in bring])
+
+
+def running_total(rows: DataFrame, by: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: the sum of ``value`` over the rows of its group up to and with this one, in ascending ``order``.
+
+    Exact whatever the ranges: a window runs inside each range of (by, order),
+    and ranges add what their groups hold in earlier ones. Rows that agree in
+    ``order`` follow each other in an arbitrary order.
+    """
+    spread = materialize(rows.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = spread.groupBy("_part", *by).agg(F.sum(value).alias("_sum"))
+    # One row a range and group: (ranges + groups) rows at most, as groups lie in neighbouring ranges.
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_by_{c}") for c in by], F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    same = F.col("_part") == F.col("_p")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    joined = spread.withColumn("_run", F.sum(value).over(inside)).join(starts, same)
+    return joined.select(*rows.columns, (F.col("_start") + F.col("_run")).alias(name))

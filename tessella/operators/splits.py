@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.hashing import salted_hash, stable_split
 from tessella.operators.graph import connected_components
+from tessella.session import materialize
 
 
 def term_holdout(rows: DataFrame, terms: str, fraction: float = 0.15, seed: str = "holdout") -> DataFrame:
@@ -42,6 +43,7 @@ def allocate(rows: DataFrame, key: str, categories: dict[str, Column], quota: in
     left = rows
     for name, score in categories.items():
         best = left.where(score > 0).orderBy(score.desc(), salted_hash(name, F.col(key)), F.col(key)).limit(quota).select(F.col(key), F.lit(name).alias("category"))
+        best = materialize(best, "allocated")  # a quota of rows
         taken.append(best)
         left = left.join(best.select(key), key, "left_anti")
     return reduce(DataFrame.unionByName, taken)

@@ -49,7 +49,7 @@ def drop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"select doc_id, row_number() over (partition by {KEY_SQL} order by source, doc_id) as dup_rank from documents")
 def exact_dedup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "source", F.sha2(text.dedupe_key(F.col("text")), 256).alias("key"))
-    return dedup.keep_first(docs, "key", [F.asc("source"), F.asc("doc_id")]).select("doc_id", F.col("dup_rank").cast("long").alias("dup_rank"))
+    return dedup.keep_first(docs, "key", ["source", "doc_id"]).select("doc_id", F.col("dup_rank").cast("long").alias("dup_rank"))
 
 
 GRAMS_SQL = f"keyed as (select doc_id, {KEY_SQL} as k from documents), grams as (select doc_id, unnest(case when length(k) >= 3 then list_distinct(list_transform(range(1, length(k) - 1), lambda i: substr(k, i, 3))) when k <> '' then [k] else [] end) as gram from keyed)"
@@ -78,7 +78,7 @@ def simhash_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 with {SIMHASH_SQL},
 nodes as (select hi, lo, min(id) as id from hashes group by 1, 2),
 bands as (select id, hi, lo, unnest([{{'band': 0, 'v': (hi >> 16) & 65535}}, {{'band': 1, 'v': hi & 65535}}, {{'band': 2, 'v': (lo >> 16) & 65535}}, {{'band': 3, 'v': lo & 65535}}]) as s from nodes)
-select distinct a.id as a, b.id as b, cast(bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) as bigint) as distance from bands a join bands b on a.s = b.s and a.id < b.id
+select distinct a.id as a, b.id as b, cast(bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) as bigint) as distance from bands a join bands b on a.s = b.s and a.id < b.id where bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 7
 """)
 def near_dup_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", text.dedupe_key(F.col("text")).alias("k"))

@@ -72,5 +72,11 @@ def events_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("select user_id, event_type, min(ts) as first_ts, count(*) as n from events group by 1, 2")
-def events_dedup_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.first_seen(load(spark, sf_dir, "events"))
+
+
+@query("select distinct user_id, event_type from events")
+def events_dedup_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users and what they did, once each: the operator that drops repeats within the watermark of a stream."""
+    return stream.dedup(load(spark, sf_dir, "events"), ["user_id", "event_type"]).select("user_id", "event_type")

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text
-from tessella.functions.hashing import cosine
 from tessella.operators import dedup, gate, lexicon, metrics, retrieval, splits
+from tessella.operators.neighbours import previous
 from tessella.plans.registry import query
 from tessella.sources.tables import load
 
@@ -65,8 +65,17 @@ scored as (select query, key, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5
   from tf join asked using (token) join dfs using (token) join dl using (key), stat group by 1, 2 having score > 0)"""
 
 
-def bm25_route(spark: SparkSession, sf_dir: str, k: int = 40) -> DataFrame:
-    index = retrieval.bm25_index(doc_words(spark, sf_dir), "doc_id", "w")
+def index_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' postings of the benchmark's words, written once."""
+    return retrieval.bm25_index(doc_words(spark, sf_dir), "doc_id", "w", asked_words(spark, sf_dir).select("token"))
+
+
+def asked_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.explode(text.words(F.col("text"))).alias("token"))
+
+
+def bm25_route(spark: SparkSession, sf_dir: str, k: int = 40, index: DataFrame | None = None) -> DataFrame:
+    index = index_of(spark, sf_dir) if index is None else index
     asked = load(spark, sf_dir, "benchmark").select("item_id", text.words(F.col("text")).alias("q"))
     scores = retrieval.bm25_scores(index, asked, "item_id", "q").withColumn("score", F.round("score", 6))
     return retrieval.top_k(scores, ["query"], [F.desc("score"), F.asc("key")], k)
@@ -86,11 +95,13 @@ def payload_overlap_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap(spark, sf_dir, 5).select("query", "key", F.col("n_matched").cast("long").alias("n_matched"), F.col("rank").cast("long").alias("rank"))
 
 
-def overlap(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    each = doc_words(spark, sf_dir).select(F.col("doc_id").alias("key"), F.explode(F.array_distinct("w")).alias("term"))
-    rare = each.groupBy("term").agg(F.count("*").alias("df")).where("df <= 40")
-    asked = load(spark, sf_dir, "benchmark").select("item_id", text.words(F.col("text")).alias("q"))
-    return retrieval.top_k(retrieval.overlap_route(each.join(rare, "term"), asked, "item_id", "q"), ["query"], [F.desc("n_matched"), F.asc("key")], k)
+def overlap(spark: SparkSession, sf_dir: str, k: int, index: DataFrame | None = None, most: int | None = 40) -> DataFrame:
+    """The best k documents of each query by the number of its words that they have; of words in ``most`` documents or fewer, if that is given."""
+    index = index_of(spark, sf_dir) if index is None else index
+    asked = asked_words(spark, sf_dir).distinct()
+    rare = index if most is None else index.where(F.col("df") <= most)
+    hits = rare.join(asked, "token").groupBy("query", "key").agg(F.count("*").alias("n_matched"))
+    return retrieval.top_k(hits, ["query"], [F.desc("n_matched"), F.asc("key")], k)
 
 
 @query(f"""
@@ -102,7 +113,8 @@ fused as (select query, key, round(sum(1.0::double / (60 + rank)), 8) as rrf_sco
 ranked as (select *, row_number() over (partition by query order by rrf_score desc, best_rank, key) as rank from fused) select * from ranked where rank <= 10
 """)
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fused = retrieval.rrf({"bm25": bm25_route(spark, sf_dir), "overlap": overlap(spark, sf_dir, 40)}).withColumn("rrf_score", F.round("rrf_score", 8))
+    index = index_of(spark, sf_dir)
+    fused = retrieval.rrf({"bm25": bm25_route(spark, sf_dir, index=index), "overlap": overlap(spark, sf_dir, 40, index)}).withColumn("rrf_score", F.round("rrf_score", 8))
     top = retrieval.top_k(fused, ["query"], [F.desc("rrf_score"), F.asc("best_rank"), F.asc("key")], 10)
     return top.withColumn("rank", F.col("rank").cast("long")).withColumn("best_rank", F.col("best_rank").cast("long"))
 
@@ -114,15 +126,7 @@ hits as (select query, key, count(*) as n_matched from q join d using (term) gro
 @query(f"with {ALL_HITS}, r as (select *, row_number() over (partition by query order by n_matched desc, key) as rank from hits) select query, key, n_matched, rank from r where rank <= 5")
 def payload_overlap_all_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """payload_overlap_route without its limit on the document frequency of a word."""
-    return overlap_all(spark, sf_dir, 5).select("query", "key", "n_matched", F.col("rank").cast("long").alias("rank"))
-
-
-def overlap_all(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    """The best k documents of each query by the number of its words that they have, however common the words are."""
-    asked = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.array_distinct(text.words(F.col("text")))).alias("term"))
-    each = doc_words(spark, sf_dir).select(F.col("doc_id").alias("key"), F.explode(F.array_distinct("w")).alias("term"))
-    hits = each.join(asked, "term").groupBy("query", "key").agg(F.count("*").alias("n_matched"))
-    return retrieval.top_k(hits, ["query"], [F.desc("n_matched"), F.asc("key")], k)
+    return overlap(spark, sf_dir, 5, most=None).select("query", "key", "n_matched", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""
@@ -132,7 +136,8 @@ fused as (select query, key, round(sum(1.0::double / (60 + rank)), 8) as rrf_sco
 ranked as (select *, row_number() over (partition by query order by rrf_score desc, best_rank, key) as rank from fused) select * from ranked where rank <= 10
 """)
 def rrf_fusion_all_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fused = retrieval.rrf({"bm25": bm25_route(spark, sf_dir), "overlap": overlap_all(spark, sf_dir, 40)}).withColumn("rrf_score", F.round("rrf_score", 8))
+    index = index_of(spark, sf_dir)
+    fused = retrieval.rrf({"bm25": bm25_route(spark, sf_dir, index=index), "overlap": overlap(spark, sf_dir, 40, index, most=None)}).withColumn("rrf_score", F.round("rrf_score", 8))
     top = retrieval.top_k(fused, ["query"], [F.desc("rrf_score"), F.asc("best_rank"), F.asc("key")], 10)
     return top.withColumn("rank", F.col("rank").cast("long")).withColumn("best_rank", F.col("best_rank").cast("long"))
 
@@ -143,19 +148,11 @@ def dense_topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dense(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    """Exact cosine: a stated set of queries (every twentieth vector) against all rows, in blocks of queries.
-
-    Queries are dealt into blocks of 64, and each block meets the table by an
-    equi-join on the block number, so no task holds more than a block.
-    """
+    """Exact cosine: a stated set of queries (every twentieth vector) against all rows."""
     v = load(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
     asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv"))
-    n = F.lit(1).cast("int")
-    blocks = asked.agg(F.ceil(F.count("*") / 64).cast("int")).scalar()
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query"), F.greatest(blocks, n)).cast("int"))
-    spread = v.withColumn("block", F.explode(F.sequence(F.lit(0), F.greatest(blocks, n) - 1)))
-    scores = spread.join(asked, "block").where("query <> vec_id").select("query", F.col("vec_id").alias("key"), "label", F.round(cosine("qv", "embedding"), 6).alias("score"))
-    return retrieval.top_k(scores, ["query"], [F.desc("score"), F.asc("key")], k)
+    best = retrieval.dense_topk(v.select(F.col("vec_id").alias("key"), F.col("embedding").alias("v")), asked, k)
+    return best.join(v.select(F.col("vec_id").alias("key"), "label"), "key").select("query", "key", "label", "score", "rank")
 
 
 @query("with v as (select vec_id, label, embedding::double[] as e from embeddings), s as (select q.vec_id as query, c.vec_id as key, c.label, round(list_cosine_similarity(q.e, c.e), 6) as score from v q, v c where q.vec_id % 20 = 0 and q.vec_id <> c.vec_id), r as (select *, row_number() over (partition by query order by score desc, key) as rank from s qualify rank <= 40) select query, label, key, score from (select *, row_number() over (partition by query, label order by score desc, key) as x from r) where x = 1")
@@ -187,7 +184,7 @@ features as (
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries with their cases: style, intent, q, neg; ``prev`` are the terms of the entry before in its source."""
-    own = entries(spark, sf_dir).withColumn("prev", F.lag("terms").over(Window.partitionBy("source").orderBy("doc_id")))
+    own = previous(entries(spark, sf_dir), "source", "doc_id", ["terms"]).withColumnRenamed("prev_terms", "prev")
     t = lambda i: F.get("terms", F.lit(i - 1))
     none = F.array().cast("array<string>")
     one = lambda style, intent, q, neg=none: F.struct(F.lit(style).alias("style"), F.lit(intent).alias("intent"), q.alias("q"), neg.alias("neg"))
