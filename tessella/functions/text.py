@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 #: Masks in order (fixed values: the patterns that cleaning replaces, and what stands for them).
 MASKS = (
-    ("email", r"(?U)[\w.+-]+@[\w-]+(?:\.[\w-]+)+", "[EMAIL]"),
-    ("phone", r"(?<!\d)(?:\+?\d{1,3}[ -]?)?(?:\(\d{3}\)|\d{3})[ -]?\d{3,4}[ -]?\d{4}(?!\d)", "[PHONE]"),
-    ("id_card", r"(?<!\d)\d{17}[\dXx](?!\d)", "[ID]"),
-    ("name", r"(?:我叫|姓名[:：]?)[一-鿿]{2,4}", "[NAME]"),
+    ("email", r"(?U)(?<![\w.+-])[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}(?!\w)", "[EMAIL]"),
+    ("phone", r"(?U)(?<!\d)(?:\+?86[- ]?)?1[3-9]\d{9}(?!\d)", "[PHONE]"),
+    ("id_card", r"(?U)(?<!\d)\d{17}[0-9Xx](?!\d)", "[ID_CARD]"),
+    ("account", r"(?U)(?i)(?:微信|wechat|QQ|账号)\s*(?:号|[:：])?\s*[A-Za-z0-9_-]{5,}", "[ACCOUNT]"),
+    ("name", r"(?U)(?:我叫|姓名\s*[:：]?\s*)([\x{3400}-\x{9fff}·]{2,8})", "[NAME]"),
+    ("address", r"(?U)(?:家住|住在|地址\s*(?:是|[:：])?)\s*[^，。；;\n]{3,50}", "[ADDRESS]"),
 )
-URL = r"https?://[^\s<>\"']+"
+URL = r"(?U)(?i)https?://\S+|www\.\S+"
 CONTROL = r"[\x{0}-\x{8}\x{b}\x{c}\x{e}-\x{1f}\x{7f}]"
 WORD = r"[\p{L}\p{N}]+"
 
@@ -103,14 +105,20 @@ def mask(text: Column) -> tuple[Column, dict[str, Column]]:
     return text, counts
 
 
+def unescape(text: Column) -> Column:
+    """HTML entities as the characters they stand for."""
+    return F.reflect(F.lit("org.apache.commons.text.StringEscapeUtils"), F.lit("unescapeHtml4"), F.coalesce(text, F.lit("")))
+
+
 def clean_record(text: Column) -> tuple[Column, dict[str, Column]]:
-    """The cleaning pipeline: normal form, tags, URLs, control characters, masks, white space; with counts by rule."""
-    text = strip_html(nfc(text))
-    counts = {"url": F.regexp_count(text, F.lit(URL))}
-    text = F.regexp_replace(text, URL, "[URL]")
+    """The cleaning pipeline: entities, normal form, tags, URLs, control characters, masks, white space; with counts by rule. A null text is empty."""
+    whole = nfc(unescape(text))
+    bare = strip_html(whole)
+    counts = {"html": (bare != whole).cast("int"), "url": F.regexp_count(bare, F.lit(URL))}
+    text = F.regexp_replace(bare, URL, "[URL]")
     counts["control"] = F.regexp_count(text, F.lit(CONTROL))
     text, masked = mask(F.regexp_replace(text, CONTROL, " "))
-    return clean_text(text), counts | masked
+    return F.regexp_replace(F.regexp_replace(text, r"(?U)[\s\x{1c}-\x{1f}]+", " "), "^ | $", ""), counts | masked
 
 
 def polarity(text: Column, start: Column, negation: str, uncertainty: str, reach: int = 10) -> Column:

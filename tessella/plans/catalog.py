@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.plans import dialogues, documents, relational, retrieval, search
+from tessella.plans import curation, dialogues, documents, relational, retrieval, search
 from tessella.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "dialogues", "documents", "relational", "retrieval", "search"]
+__all__ = ["QUERIES", "SQL", "curation", "dialogues", "documents", "relational", "retrieval", "search"]
