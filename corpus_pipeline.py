@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import bpe, catalog, mixing, simhash, toxicity
-from tessella.session import materialize
+from tessella.session import broadcast_small, materialize
 from tessella.sources.tables import load
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -42,9 +42,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     least = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
     stay = thin.groupBy("doc_id").agg(F.min("sha").alias("sha")).join(least, "doc_id", "left_semi").withColumn("stays", F.lit(True))
     special = materialize(thin.join(stay, ["doc_id", "sha"], "left").where("stays is null or copies > 1").select("doc_id", "sha", "stays"), "special")
-    single = read.join(special, ["doc_id", "sha"], "left_anti")
+    single = read.join(broadcast_small(special.select("doc_id", "sha")), ["doc_id", "sha"], "left_anti")
     # Rows that agree in every column: whichever stays is the same.
-    several = read.join(special.where("stays"), ["doc_id", "sha"], "left_semi").dropDuplicates(["doc_id"])
+    several = read.join(broadcast_small(special.where("stays").select("doc_id", "sha")), ["doc_id", "sha"], "left_semi").dropDuplicates(["doc_id"])
     return single.select(*COLUMNS).unionByName(several.select(*COLUMNS)).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -56,6 +57,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def broadcast_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows; it is counted, so it should be a written table of narrow rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def _hadoop(spark: SparkSession, path: str):
     """The path and its file system, as Java objects."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
