@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMORY = 600_000
+MEMORY = 350_000
 #: Rows that one Arrow batch of results may hold, and the characters after which it is passed on.
 BATCH_CHARS = 4_000_000
 #: Above this a text is cut by the regular expression, whose matches come one by one.

@@ -64,7 +64,7 @@ PRIOR = 64.0
 WINDOW = 256
 BATCH = 128
 #: Bytes that are hashed at once.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
