@@ -103,7 +103,7 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     text are one document, each with its own row.
     """
     least = -(2**63)
-    docs = load(spark, sf_dir, "documents").select(F.coalesce("doc_id", F.lit(least)).alias("key"), F.coalesce("text", F.lit("")).alias("text")).withColumn("sha", F.sha2("text", 256))
+    docs = load(spark, sf_dir, "documents").select(F.coalesce("doc_id", F.lit(least)).alias("key"), F.coalesce("text", F.lit("")).alias("text")).withColumn("sha", F.unhex(F.sha2("text", 256)))
     read = docs.select("key", "sha", F.length("text").cast("long").alias("n"), fingerprint.canonical(F.col("text")).alias("canon"))
     thin = materialize(read.select("key", "sha", "n", fingerprint.wide_hash(F.col("canon")).alias("wide")), "digests")
     chain = materialize(fingerprint.following(thin.dropDuplicates(["key", "sha"]), ["key", "sha"], ["wide"]), "chain")
