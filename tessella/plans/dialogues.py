@@ -95,12 +95,10 @@ def exact_match_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "benchmark").select("item_id", text.exact_match_count(F.col("text"), terms).cast("long").alias("exact"))
 
 
-@query()
+@query(f"with {ENTRIES}, w as (select conv_id, turn, word, place from (select conv_id, turn, unnest({TOK}) as word, generate_subscripts({TOK}, 1) as place from conversations)), n as (select distinct conv_id, turn, place + 1 as place from w where word in ('no', 'not', 'nicht', 'pas', 'sin', 'ne', 'kein')) select word as term, count(*) as n from w semi join n on w.conv_id = n.conv_id and w.turn = n.turn and w.place = n.place where word in (select term from ranked) group by 1")
 def negated_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that stand within ten characters after a negation, with how often."""
-    terms = entry_terms(spark, sf_dir).select("term").distinct()
-    words = load(spark, sf_dir, "conversations").select(F.monotonically_increasing_id().alias("id"), "text")
-    hits = lexicon.match_words(words, "id", text.words(F.col("text")), terms)
-    neg = lexicon.match_words(words, "id", text.words(F.col("text")), terms.limit(0).unionByName(spark.range(1).select(F.explode(F.array(*map(F.lit, "no not nicht pas sin ne kein".split()))).alias("term"))))
-    near = hits.join(neg.select("key", (F.col("place") + 1).alias("place")), ["key", "place"], "left_semi")
-    return near.groupBy("term").agg(F.count("*").alias("n"))
+    """Catalogue words right after a negation, with how often."""
+    words = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(text.words(F.col("text"))).alias("place", "term"))
+    hits = words.join(entry_terms(spark, sf_dir).select("term").distinct(), "term")
+    negations = words.where(F.col("term").isin(*"no not nicht pas sin ne kein".split())).select("conv_id", "turn", (F.col("place") + 1).alias("place"))
+    return hits.join(negations, ["conv_id", "turn", "place"], "left_semi").groupBy("term").agg(F.count("*").alias("n"))

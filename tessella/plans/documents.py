@@ -85,7 +85,16 @@ def near_dup_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.band_pairs(dedup.simhash64(docs, "doc_id", "k")).select("a", "b", F.col("distance").cast("long").alias("distance"))
 
 
-@query()
+#: Components by all links of 0.93 or more between keys (a recursive query).
+COMPONENTS_SQL = f"""keyed as (select doc_id, {KEY_SQL} as k from documents), keys as (select k, min(doc_id) as head from keyed where k <> '' group by 1),
+grams as (select head, unnest(case when length(k) >= 3 then list_distinct(list_transform(range(1, length(k) - 1), lambda i: substr(k, i, 3))) else [k] end) as gram from keys), sized as (select head, count(*) as n from grams group by 1),
+shared as (select x.head as a, y.head as b, count(*) as n from grams x join grams y on x.gram = y.gram and x.head < y.head group by 1, 2),
+links as (select a, b from shared join sized sa on sa.head = a join sized sb on sb.head = b where shared.n::double / (sa.n + sb.n - shared.n) >= 0.93),
+twoway as (select a, b from links union all select b, a from links), reach as (select head as node, head as root from keys union select twoway.b, reach.root from reach join twoway on twoway.a = reach.node),
+parts as (select node, min(root) as part from reach group by 1), components as (select keyed.doc_id, coalesce(part, keyed.doc_id) as component from keyed left join keys on keys.k = keyed.k left join parts on node = head)"""
+
+
+@query(f"with recursive {COMPONENTS_SQL} select doc_id, component from components")
 def near_dup_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", text.dedupe_key(F.col("text")).alias("k"))
     return dedup.near_duplicate_components(docs, "doc_id", "k").select(F.col("id").alias("doc_id"), "component")
@@ -162,7 +171,11 @@ def bounded_pool_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.pool(docs, "source", F.col("n_chars"), "doc_id", 10).select("doc_id", "source", F.col("place").cast("long").alias("place"))
 
 
-@query()
+SCORES_SQL = "s as (select doc_id, len(regexp_extract_all(text, '\\?')) as question, len(regexp_extract_all(text, '\\n')) as listing, n_chars as long from documents)"
+_best = "{name} as (select doc_id from s where {name} > 0{without} order by {name} desc, sha256('{name}|' || cast(doc_id as varchar)), doc_id limit 40)"
+
+
+@query(f"with {SCORES_SQL}, " + ", ".join(_best.format(name=n, without="".join(f" and doc_id not in (select doc_id from {t}_picked)" for t in taken)).replace(f"{n} as", f"{n}_picked as") for n, taken in (("question", []), ("listing", ["question"]), ("long", ["question", "listing"]))) + " select doc_id, 'question' as category from question_picked union all select doc_id, 'listing' from listing_picked union all select doc_id, 'long' from long_picked")
 def disjoint_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     scores = {"question": F.regexp_count("text", F.lit(r"\?")), "listing": F.regexp_count("text", F.lit(r"\n")), "long": F.col("n_chars")}
@@ -233,7 +246,7 @@ def section_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", (F.col("p") + 1).cast("long").alias("place"), section.alias("section"))
 
 
-@query("select 'wide' as d, 1 as n where false union all select page.d, count(*) from (select coalesce(regexp_extract(url, '://([^/?#]*)', 1), '') as d from pages) page group by 1")
+@query("select page.d, count(*) as n from (select coalesce(regexp_extract(url, '://([^/?#]*)', 1), '') as d from pages) page group by 1")
 def pages_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").groupBy(F.coalesce(F.regexp_extract("url", "://([^/?#]*)", 1), F.lit("")).alias("d")).agg(F.count("*").alias("n"))
 

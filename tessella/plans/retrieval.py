@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessella.functions import text
 from tessella.operators import dedup, gate, lexicon, metrics, retrieval, splits
 from tessella.operators.neighbours import previous
+from tessella.plans.documents import COMPONENTS_SQL
 from tessella.plans.registry import query
 from tessella.sources.tables import load
 
@@ -252,6 +253,18 @@ def evidence_tiering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", tier.alias("tier"))
 
 
+@query(f"with {ENTRIES}, s as (select doc_id, kind, conf, len(terms) as n, len(list_filter([1, 3, 5], lambda i: length(terms[i]) >= 4 or length(terms[i + 1]) >= 4)) / 3 as groups, len(list_filter(terms[7:9], lambda t: length(t) >= 4)) / greatest(1, len(terms[7:9])) as diag from entries) select s.doc_id, case when kind is null or n < 7 then 'quarantine' when quality = 1 and toxic = 0 then 'verified' when kind < 4 and round(conf + 0.1, 6) >= 0.65 and groups >= 1 and diag >= 0.5 then 'high' else 'medium' end as tier from s left join labels using (doc_id)")
+def evidence_tiers_by_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiers where the support of groups and diagnostic terms differs from entry to entry."""
+    rows = entries(spark, sf_dir).join(load(spark, sf_dir, "labels"), "doc_id", "left")
+    long = lambda c: F.size(F.filter(c, lambda t: F.length(t) >= 4))
+    groups = sum((F.when(long(F.slice("terms", i, 2)) > 0, 1).otherwise(0) for i in (1, 3, 5)), F.lit(0)) / 3
+    diagnostic = F.slice("terms", 7, 3)
+    verified = F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False))
+    tier = gate.tier(F.col("kind").isNull() | (F.size("terms") < 7), verified, F.col("kind") < 4, F.round(F.col("conf") + 0.1, 6), groups, long(diagnostic) / F.greatest(F.lit(1), F.size(diagnostic)))
+    return rows.select("doc_id", tier.alias("tier"))
+
+
 POST = "post as (select doc_id, source, kind, len(terms) as n_terms, unnest(terms) as term from entries)"
 PAIRS = f"""{ENTRIES}, {POST},
 pairs as (select a.doc_id as a, b.doc_id as b, count(*) as shared, any_value(a.n_terms) as na, any_value(b.n_terms) as nb from post a join post b on a.term = b.term and a.kind = b.kind and a.doc_id <> b.doc_id and a.source <> b.source group by 1, 2),
@@ -295,7 +308,15 @@ def split_overlap_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return side("dev").intersect(side("train")).agg(F.count("*").alias("overlap"))
 
 
-@query()
+SPLIT_SQL = f"""{ENTRIES}, {COMPONENTS_SQL},
+post as (select doc_id, kind, len(terms) as n_terms, unnest(terms) as term from entries),
+alike as (select a.doc_id as a, b.doc_id as b from post a join post b on a.term = b.term and a.kind = b.kind and a.doc_id < b.doc_id group by a.doc_id, b.doc_id, a.n_terms, b.n_terms having count(*)::double / (a.n_terms + b.n_terms - count(*)) >= 0.08),
+edge as (select a, b from alike union select component, doc_id from components where component <> doc_id), ways as (select a, b from edge union select b, a from edge),
+spread as (select a as node, a as root from ways union select ways.b, spread.root from spread join ways on ways.a = spread.node),
+whole as (select node, min(root) as component from spread group by 1)"""
+
+
+@query(f"with recursive {SPLIT_SQL} select node, component, case when left(sha256('pairs' || chr(31) || component), 16) < '2666666666666600' then 'dev' else 'train' end as split from whole")
 def component_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries that are similar, whatever their source, and near copies are one component, and so on one side."""
     similar = lexicon.similar_entries(postings(spark, sf_dir), k=None, other_names=False).where("a < b").select("a", "b")

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import csv
+import io
+import itertools
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.session import delete_path
@@ -24,15 +30,47 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def _csv_rows(encodings: tuple[str, ...], most: int | None):
+    """(path, line, cells) of whole files, each in the first encoding that decodes all of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = content.as_py()
+                for encoding in encodings:
+                    try:
+                        text = data.decode("utf-8-sig" if encoding == "UTF-8" else encoding)
+                        break
+                    except UnicodeDecodeError:
+                        continue
+                else:
+                    raise ValueError(f"no encoding of {encodings} decodes {path}")
+                cells = list(itertools.islice(csv.reader(io.StringIO(text, newline="")), most))
+                for at in range(0, len(cells), 10_000):
+                    part = cells[at : at + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(part)), pa.array(range(at, at + len(part)), pa.int64()), pa.array(part, pa.list_(pa.string()))], names=["path", "line", "cells"])
+
+    return run
+
+
 def read_csv(spark: SparkSession, path: str, rows: int | None = None, encodings: tuple[str, ...] = ENCODINGS) -> DataFrame:
-    """CSV in the first encoding that decodes all of it without replacement characters."""
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # GBK and its kin are read only then
-    for encoding in encodings:
-        frame = spark.read.option("header", True).option("encoding", encoding).option("multiLine", True).csv(path)
-        text = F.concat_ws("", *[F.col(f"`{c}`") for c in frame.columns])
-        if "�" not in "".join(frame.columns) and frame.where(F.contains(text, F.lit("�"))).isEmpty():
-            return frame.limit(rows) if rows else frame
-    raise ValueError(f"no encoding of {encodings} decodes {path}")
+    """CSV files with a header, each in the first encoding that decodes all of it; quoted line feeds are kept.
+
+    A file is read by one task, up to the 2 GB that one value can hold; the
+    header is that of the first file by path. Empty cells are null.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    kind = "path string, line long, cells array<string>"
+    head = files.mapInArrow(_csv_rows(encodings, 1), kind).orderBy("path", "line").first()
+    names = head.cells if head else []
+    body = files.mapInArrow(_csv_rows(encodings, None), kind).where("line > 0")
+    body = body.orderBy("path", "line").limit(rows) if rows else body
+    return body.select(*[F.nullif(F.get("cells", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)])
+
+
+def sniff_columns(names: list[str], wanted: dict[str, tuple[str, ...]]) -> dict[str, str]:
+    """For each wanted role the first column whose lower-case name holds one of its words; roles without one are left out."""
+    return {role: hit[0] for role, words in wanted.items() if (hit := [n for n in names if any(w in n.lower() for w in words)])}
 
 
 def read_records(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -49,10 +87,19 @@ def read_records(spark: SparkSession, path: str, schema: str | None = None) -> D
     raise ValueError(f"unknown kind of file: {path}")
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line, value): lines of each file with their number from 1; files are split within themselves only."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.split("value", r"\r?\n").alias("ls"))
-    return whole.select("path", F.posexplode("ls").alias("line", "value")).select("path", (F.col("line") + 1).alias("line"), "value")
+def read_lines(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """(path, line, value): lines with their number from 1, the first ``limit`` of each file if that is given.
+
+    Files are read in splits; a split's first number comes from the counts of
+    those before it, one row a split.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value", F.monotonically_increasing_id().alias("at"))
+    counts = lines.groupBy("path", "block").count()
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("path", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    own = lines.withColumn("n", F.row_number().over(Window.partitionBy("path", "block").orderBy("at")))
+    out = own.join(starts, ["path", "block"]).select("path", (F.col("start") + F.col("n")).alias("line"), "value")
+    return out.where(F.col("line") <= limit) if limit else out
 
 
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,18 +124,30 @@ def write_capped(df: DataFrame, path: str, cap: int, order: list[Column]) -> dic
 
 
 def replace_table(df: DataFrame, path: str) -> int:
-    """Rebuild aside, verify the count, then swap; readers see the old table or the new one."""
+    """Rebuild aside, verify the count, then swap: the old table is renamed aside, and back if the new one cannot take its place.
+
+    ``df`` is computed once. Between two renames a reader may find no table;
+    it never finds a part of one.
+    """
     spark = df.sparkSession
-    aside = f"{path.rstrip('/')}.rebuild"
-    df.write.mode("overwrite").parquet(aside)
-    wanted, got = df.count(), spark.read.parquet(aside).count()
+    path = path.rstrip("/")
+    aside, old = f"{path}.rebuild", f"{path}.old"
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(aside)
+    wanted, got = seen.get["n"], spark.read.schema(df.schema).parquet(aside).count()
     if wanted != got:
         raise RuntimeError(f"{aside} has {got} rows of {wanted}")
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    delete_path(spark, path)
-    files.rename(jvm.org.apache.hadoop.fs.Path(aside), target)
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = jpath(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    delete_path(spark, old)
+    had = files.exists(jpath(path))
+    if had and not files.rename(jpath(path), jpath(old)):
+        raise RuntimeError(f"{path} could not be set aside")
+    if not files.rename(jpath(aside), jpath(path)):
+        if had:
+            files.rename(jpath(old), jpath(path))
+        raise RuntimeError(f"{aside} could not take the place of {path}")
+    delete_path(spark, old)
     return got
 
 

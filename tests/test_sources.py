@@ -22,6 +22,36 @@ def test_csv_falls_back_through_encodings(spark, tmp_path):
     assert [tuple(r) for r in files.read_csv(spark, str(path)).collect()] == [("中文", "1")]
 
 
+def test_csv_of_many_encodings(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("\ufeffname,text\nx,\"two\nlines, a comma\"\n".encode())
+    (tmp_path / "b.csv").write_bytes("name,text\n\u540d,\n".encode("gb18030"))
+    (tmp_path / "c.csv").write_bytes(b"name,text\ncaf\xe9\xff,y\n")
+    got = {tuple(r) for r in files.read_csv(spark, str(tmp_path)).collect()}
+    assert got == {("x", "two\nlines, a comma"), ("\u540d", None), ("caf\xe9\xff", "y")}
+    assert files.read_csv(spark, str(tmp_path), rows=1).count() == 1
+    assert spark.conf.get("spark.sql.legacy.javaCharsets", "false") == "false"
+    assert files.sniff_columns(["Id", "Question_zh", "Answer"], {"q": ("question", "ask"), "a": ("answer",), "z": ("none",)}) == {"q": "Question_zh", "a": "Answer"}
+
+
+def test_line_numbers_over_splits(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("".join(f"line {i}\n" for i in range(1, 5001)))
+    (tmp_path / "b.txt").write_text("only")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = files.read_lines(spark, str(tmp_path)).collect()
+        assert len(rows) == 5001 and all(r.value in ("only", f"line {r.line}") for r in rows)
+        assert files.read_lines(spark, str(tmp_path), limit=3).count() == 4
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_a_table_is_replaced_by_one_that_reads_it(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert files.replace_table(spark.range(5), path) == 5
+    assert files.replace_table(spark.read.parquet(path).where("id > 1"), path) == 3
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [2, 3, 4] and {p.name for p in tmp_path.iterdir()} == {"t"}
+
+
 def test_lines_markdown_and_manifest(spark, tmp_path):
     (tmp_path / "x.md").write_text("# T\nbody")
     (tmp_path / "bad.bin").write_bytes(b"\xff\xfe")
