@@ -9,6 +9,7 @@ from tessella.operators import splits
 from tessella.plans.registry import query
 from tessella.sources.tables import load
 from tessella.streaming import events as stream
+from tessella.streaming import state
 
 
 @query("with patch as (select c_custkey, 'patched' as c_mktsegment, row_number() over (order by c_custkey) as pos from customer where c_custkey % 10 = 0) select c.c_custkey, coalesce(p.c_mktsegment, c.c_mktsegment) as c_mktsegment from customer c left join patch p using (c_custkey)")
@@ -80,3 +81,21 @@ def events_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 def events_dedup_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users and what they did, once each: the operator that drops repeats within the watermark of a stream."""
     return stream.dedup(load(spark, sf_dir, "events"), ["user_id", "event_type"]).select("user_id", "event_type")
+
+
+@query("select user_id as key, event_id as event, row_number() over (partition by user_id order by ts, event_id) as n, row_number() over (partition by user_id order by ts, event_id) <= 20 as allowed from events")
+def events_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events by number, and whether they are within a budget of 20."""
+    return state.budget(load(spark, sf_dir, "events"), "user_id", 20)
+
+
+@query("select user_id as key, event_id as event, coalesce(sum(cast(value < 50 as int)) over (partition by user_id order by ts, event_id rows between 3 preceding and 1 preceding), 0) = 3 as open from events")
+def events_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a user's last three events all fell below 50."""
+    return state.breaker(load(spark, sf_dir, "events"), "user_id", F.col("value") < 50)
+
+
+@query("with r as (select conv_id, sum(length(coalesce(text, ''))) over (partition by conv_id order by turn desc rows unbounded preceding) <= 2000 as fits from conversations) select conv_id, count(*) filter (where fits) as kept, count(*) filter (where not fits) as dropped from r group by 1")
+def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of a conversation's last turns fit 2000 characters."""
+    return state.compressed(load(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 2000)
