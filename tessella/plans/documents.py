@@ -182,7 +182,7 @@ def disjoint_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.allocate(docs, "doc_id", scores, 40)
 
 
-@query()
+@query("select doc_id, source, lang from (select doc_id, source, lang, row_number() over (partition by source, lang order by n_chars desc, sha256('balance|' || cast(doc_id as varchar)), doc_id) as round from documents) order by round, sha256('turn|' || cast(doc_id as varchar)), doc_id limit 100")
 def balanced_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
     return splits.balance(docs, "source", "lang", "n_chars", "doc_id", 100).select("doc_id", "source", "lang")
