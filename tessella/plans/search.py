@@ -135,12 +135,12 @@ def search_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("query", "key", status.alias("status"), F.array_join(reasons, ",").alias("reasons"))
 
 
-@query(f"with {SEARCH}, n as (select query, min(len(groups)) as _, list(key order by rank) as keys from lr where rank <= 10 and intent = 'clinical_symptom' and kname in ('formula_syndrome', 'classical_clause') and n_groups < 3 and neg = 0 and forb = 0 and cov >= 0.8 and n_prim >= 3 group by 1) select query, keys from n")
+@query(f"with {SEARCH}, n as (select query, array_to_string(list(key order by rank), ',') as keys from lr where rank <= 10 and intent = 'clinical_symptom' and kname in ('formula_syndrome', 'classical_clause') and n_groups < 3 and neg = 0 and forb = 0 and cov >= 0.8 and n_prim >= 3 group by 1) select query, keys from n")
 def retained_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates that lack a required group but cover the query: those that may take a place in the answer."""
     best = search.local_rank(fused(pairs(spark, sf_dir)), "query", "key", 10).where(search.should_retain())
     lists = best.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("rank", "key"))).alias("r"))
-    return lists.select("query", F.col("r.key").alias("keys"))
+    return lists.select("query", F.array_join(F.transform("r.key", lambda k: k.cast("string")), ",").alias("keys"))
 
 
 @query(f"with {SEARCH}, o as (select *, row_number() over (partition by query order by overlap desc, sp desc, length(source) desc, key) as place from g where sp > 0 and n_prim > 0) select query, key, overlap as score, place as rank from o where place <= 10")
