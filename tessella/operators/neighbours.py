@@ -29,7 +29,12 @@ def previous(rows: DataFrame, by: str, order: str, bring: list[str]) -> DataFram
 
 
 def running_total(rows: DataFrame, by: list[str], order: list[str], value: str, name: str) -> DataFrame:
-    """``rows`` with ``name``: the sum of ``value`` over the rows of its group up to and with this one, in ascending ``order``.
+    """``rows`` with ``name``: the sum of ``value`` over the rows of its group up to and with this one, in ascending ``order``."""
+    return running_totals(rows, by, order, {name: value})
+
+
+def running_totals(rows: DataFrame, by: list[str], order: list[str], values: dict[str, str]) -> DataFrame:
+    """``rows`` with, for each name of ``values``, the sum of that column over the rows of its group up to and with this one, in ascending ``order``.
 
     Exact whatever the ranges: a window runs inside each range of (by, order),
     and ranges add what their groups hold in earlier ones. Rows that agree in
@@ -37,12 +42,13 @@ def running_total(rows: DataFrame, by: list[str], order: list[str], value: str,
     """
     spread = materialize(rows.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()), "ranges")
     inside = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    sums = spread.groupBy("_part", *by).agg(F.sum(value).alias("_sum"))
+    sums = spread.groupBy("_part", *by).agg(*[F.sum(v).alias(f"_sum_{k}") for k, v in values.items()])
     # One row a range and group: (ranges + groups) rows at most, as groups lie in neighbouring ranges.
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_by_{c}") for c in by], F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    starts = [F.coalesce(F.sum(f"_sum_{k}").over(before), F.lit(0)).alias(f"_start_{k}") for k in values]
+    starts = sums.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_by_{c}") for c in by], *starts)
     same = F.col("_part") == F.col("_p")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    joined = spread.withColumn("_run", F.sum(value).over(inside)).join(starts, same)
-    return joined.select(*rows.columns, (F.col("_start") + F.col("_run")).alias(name))
+    runs = spread.select("*", *[F.sum(v).over(inside).alias(f"_run_{k}") for k, v in values.items()])
+    return runs.join(starts, same).select(*rows.columns, *[(F.col(f"_start_{k}") + F.col(f"_run_{k}")).alias(k) for k in values])
