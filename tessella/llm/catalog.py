@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import ann, bpe, chat, fingerprint, lm, mixing, oracle, simhash, toxicity, urlfilter, warc
+from tessella.llm import ann, bpe, chat, fingerprint, jaccard, lm, mixing, oracle, simhash, toxicity, trie, urlfilter, warc, whiten
 from tessella.session import materialize, scratch_path
 from tessella.sources.tables import load
 
@@ -139,6 +139,21 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, SITE_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every embedding, with the error of the whitening."""
+    return whiten.whiten(load(spark, sf_dir, "embeddings"))
+
+
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle count and component of every document, linked at a Jaccard similarity of 0.85 over four-word shingles."""
+    return jaccard.jaccard_components(load(spark, sf_dir, "documents"))
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations, with its subtree's totals."""
+    return trie.trie(*trie.share_openings(trie.numbered(load(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
