@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.text import let
-from tessella.session import materialize
 
 
 def match_terms(texts: DataFrame, key: str, text: str, terms: DataFrame, sizes: list[int]) -> DataFrame:
@@ -62,40 +57,6 @@ def non_overlapping(hits: DataFrame, longest_first: bool = True, later_wins: boo
     return grouped.select("key", F.array_sort(chosen).alias("chosen"))
 
 
-def _word_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (key, text): key, each of its words, and where it starts, from 1."""
-    word = re.compile(r"[^\W_]+")
-    for batch in batches:
-        for at in range(0, batch.num_rows, 200):
-            keys, words, starts = [], [], []
-            for key, text in zip(batch.column(0)[at : at + 200].to_pylist(), batch.column(1)[at : at + 200].to_pylist()):
-                own: dict[str, list[int]] = {}
-                for m in word.finditer(text or ""):
-                    own.setdefault(m[0], []).append(m.start() + 1)
-                keys += [key] * len(own)
-                words += own
-                starts += own.values()
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(words, pa.string()), pa.array(starts, pa.list_(pa.int32()))], names=["key", "word", "starts"])
-
-
-def longest_in_words(texts: DataFrame, key: str, text: Column, terms: DataFrame) -> DataFrame:
-    """(key, start, term): occurrences of terms anywhere in a text, longest first and without overlaps, start from 1.
-
-    ``terms`` are of letters and digits. An occurrence then lies within one
-    word, and words do not overlap, so the choice is made once for each
-    distinct word and holds wherever the word stands.
-    """
-    terms = materialize(terms.select("term").where("term <> ''").distinct(), "terms")
-    sizes = sorted(r.n for r in terms.select(F.length("term").alias("n")).distinct().collect())
-    kind = dict(texts.dtypes)[key]
-    said = texts.select(F.col(key).alias("key"), text.alias("text")).mapInArrow(_word_starts, f"key {kind}, word string, starts array<int>")
-    if not sizes:
-        return said.select("key", F.lit(0).alias("start"), F.col("word").alias("term")).limit(0)
-    chosen = non_overlapping(match_terms(said.select("word").distinct(), "word", "word", terms, sizes)).select(F.col("key").alias("word"), "chosen")
-    placed = said.join(chosen, "word").select("key", F.explode("chosen").alias("c"), "starts").select("key", "c", F.explode("starts").alias("at"))
-    return placed.select("key", (F.col("at") + F.col("c.start") - 1).alias("start"), "c.term")
-
-
 def similar_entries(postings: DataFrame, k: int | None = 5, least: float = 0.08, other_names: bool = True) -> DataFrame:
     """(a, b, shared, jaccard, rank): entries that share terms but not their name, the best k of each.
 

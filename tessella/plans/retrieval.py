@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text
-from tessella.operators import dedup, gate, lexicon, metrics, retrieval, splits
+from tessella.operators import dedup, gate, lexicon, matcher, metrics, retrieval, splits
 from tessella.operators.neighbours import previous
 from tessella.plans.documents import COMPONENTS_SQL
 from tessella.plans.registry import query
@@ -397,5 +397,5 @@ def lexicon_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def lexicon_longest_non_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalogue terms of every length in the lower-case text of documents."""
-    chosen = lexicon.longest_in_words(load(spark, sf_dir, "documents"), "doc_id", F.lower(F.coalesce("text", F.lit(""))), entry_terms(spark, sf_dir))
+    chosen = matcher.find_terms(load(spark, sf_dir, "documents"), "doc_id", F.lower(F.coalesce("text", F.lit(""))), entry_terms(spark, sf_dir))
     return chosen.select(F.col("key").alias("doc_id"), "start", "term")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tessella.operators import lexicon
+from tessella.operators import matcher
 from tessella.plans.catalog import QUERIES
 from tessella.plans.retrieval import entry_terms
 
@@ -24,7 +24,7 @@ def test_all_lengths_inside_words(spark):
     terms = ["ab", "bcd", "cdefghijk", "efghijklmnop", "a", "12", "été"]
     texts = {1: "xabcdefghijklmnopq ab_12, abcdefghijk", 2: "", 3: None, 4: "été a😀bcd-bcdbcd"}
     frame = spark.createDataFrame(list(texts.items()), "id long, t string")
-    got = lexicon.longest_in_words(frame, "id", F.col("t"), spark.createDataFrame([(t,) for t in terms], "term string"))
+    got = matcher.find_terms(frame, "id", F.col("t"), spark.createDataFrame([(t,) for t in terms], "term string"))
     assert sorted(map(tuple, got.collect())) == sorted((i, *c) for i, t in texts.items() for c in brute(t or "", terms))
 
 
