@@ -21,10 +21,13 @@ Rounds. First every set looks only into its largest file and names two partners:
 the first in a fixed order and the nearest. The verified ones make components,
 which fold a family of near copies of any size without naming all its pairs.
 Then files that still hold several components are searched in whole for pairs
-between different ones, and all of those are verified; after that no link can be
-missing from the components. A file above ``FILE_ROWS`` is dealt into parts:
-first with some leaders in every part; afterwards the rows of its commonest
-component need not meet each other, and the other rows meet every part.
+between different ones; a file passes on only a spanning forest of these, and
+the sets that forests join are a cluster. A cluster's whole texts meet, where
+every pair between components that the tree leaves is counted exactly, and again
+a forest of the true links is passed on; after that no link can be missing from
+the components. A file or cluster above its limit is dealt into parts: first
+with some leaders in every part; afterwards the rows of its commonest component
+need not meet each other, and the other rows meet every part.
 
 Defined cases: null texts are empty; sets without shingles link with nothing,
 each row with its own id; equal sets are one node, so copies make no pairs; rows
@@ -54,6 +57,10 @@ GROUPS = 128
 LEAF = 32
 FAN = 8
 FILE_ROWS = 2_048
+#: Texts of a cluster that meet in one task.
+CLUSTER_ROWS = 512
+#: Bytes of a cluster's sets as bits; beyond, pairs are counted one by one.
+BIT_BYTES = 64_000_000
 LEADERS = 32
 #: Members of one leader that are verified in one task.
 STAR = 256
@@ -236,48 +243,95 @@ def _partners(n: int, nodes: np.ndarray, found: Iterator[tuple[np.ndarray, np.nd
     return np.concatenate([own[early], own[near]]), np.concatenate([back[first[early]], nearest[near]])
 
 
-def _searcher(every: bool, percent: int):
-    """Reads rows (file, node, n, label, point) sorted by file; yields pairs (a, b) of nodes: all between labels, or each node's two."""
+def _forest(labels: np.ndarray, found: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs (i, j), those that first join what labels and the pairs before them have left apart."""
+    part = np.unique(labels, return_inverse=True)[1]
+    a, b = [], []
+    for i, j in found:
+        while True:
+            apart = np.flatnonzero(part[i] != part[j])
+            if not len(apart):
+                break
+            i, j = i[apart], j[apart]
+            a.append(i[0])
+            b.append(j[0])
+            part[part == part[j[0]]] = part[i[0]]
+    return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+
+
+def counted(sets: list[np.ndarray], percent: int = PERCENT):
+    """A function from pairs (i, j) of sets to those that link, by their exact overlap."""
+    sizes = np.array([len(x) for x in sets])
+    every, times = np.unique(np.concatenate(sets), return_counts=True)
+    shared = every[times > 1]  # what only one set has is in no overlap
+    if len(sets) * (len(shared) // 8 + 1) > BIT_BYTES:
+        return lambda i, j: np.array([linked(len(np.intersect1d(sets[p], sets[q], assume_unique=True)), sizes[p], sizes[q], percent) for p, q in zip(i, j)], dtype=bool)
+    bits = np.zeros((len(sets), len(shared) // 8 + 1), dtype=np.uint8)
+    for k, own in enumerate(sets):
+        row = np.zeros(bits.shape[1] * 8, dtype=bool)
+        row[np.searchsorted(shared, own[np.isin(own, shared, assume_unique=True)])] = True
+        bits[k] = np.packbits(row)
+
+    def test(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.concatenate([_enough(np.bitwise_count(bits[i[s : s + 256]] & bits[j[s : s + 256]]).sum(axis=1, dtype=np.int64), sizes[i[s : s + 256]], sizes[j[s : s + 256]], percent) for s in range(0, len(i), 256)])
+
+    return test
+
+
+def _searcher(of: str, size: int, percent: int):
+    """Reads rows (file, node, label, n, point) or (file, node, label, text) sorted by file; yields pairs (a, b) of nodes.
+
+    ``partners``: each node's two; ``forest``: what joins labels by pairs that
+    may link; ``links``: what joins them by pairs that do.
+    """
 
-    def search(node: np.ndarray, n: np.ndarray, label: np.ndarray, point: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        points = np.frombuffer(b"".join(point), dtype="<u4").reshape(-1, GROUPS)
-        found = tree_pairs(points, n, label, percent)
-        if every:
-            pairs = [(i, j) for i, j, _ in found]
-            i, j = (np.concatenate([np.empty(0, dtype=np.int64), *x]) for x in (zip(*pairs) if pairs else ((), ())))
+    def search(rows: pa.Table, held: dict) -> tuple[np.ndarray, np.ndarray]:
+        node, label = rows.column(1).to_numpy(), rows.column(2).to_numpy()
+        if of == "links":
+            sets = [shingles(t.as_py(), size, held) for t in rows.column(3)]
+            sizes = np.array([len(x) for x in sets])
+            points = np.array([np.bincount((x % np.uint64(GROUPS)).view(np.int64), minlength=GROUPS) for x in sets])
+            test = counted(sets, percent)
+            pairs = ((i[hit], j[hit]) for i, j, _ in tree_pairs(points, sizes, label, percent) if (hit := test(i, j)).any())
+            i, j = _forest(label, pairs)
         else:
-            i, j = _partners(len(node), node, found)
+            points = np.frombuffer(b"".join(rows.column(4).to_pylist()), dtype="<u4").reshape(-1, GROUPS)
+            found = tree_pairs(points, rows.column(3).to_numpy(), label, percent)
+            i, j = _partners(len(node), node, found) if of == "partners" else _forest(label, ((i, j) for i, j, _ in found))
         return np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held, words = [], _Words()
         for batch in batches:
             if not batch.num_rows:
                 continue
             files = batch.column(0).to_numpy()
             last = int(np.flatnonzero(files == files[-1])[0])
             if last or (held and held[-1].column(0)[-1].as_py() != files[0]):
-                yield emit(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                yield emit(pa.Table.from_batches([*held, batch.slice(0, last)]), words)
                 held = []
             held.append(batch.slice(last))
         if held:
-            yield emit(pa.Table.from_batches(held))
+            yield emit(pa.Table.from_batches(held), words)
 
-    def emit(rows: pa.Table) -> pa.RecordBatch:
-        file, node, n, label = (rows.column(i).to_numpy() for i in range(4))
-        point = rows.column(4).to_pylist()
+    def emit(rows: pa.Table, words: dict) -> pa.RecordBatch:
+        file = rows.column(0).to_numpy()
         cuts = np.flatnonzero(np.concatenate(([True], file[1:] != file[:-1], [True]))).tolist() if len(file) else []
-        found = [search(node[s:e], n[s:e], label[s:e], point[s:e]) for s, e in zip(cuts, cuts[1:]) if e - s > 1]
+        found = [search(rows.slice(s, e - s), words) for s, e in zip(cuts, cuts[1:]) if e - s > 1]
         a, b = (np.concatenate([np.empty(0, dtype=np.int64), *x]) for x in (zip(*found) if found else ((), ())))
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run
 
 
-def _searched(rows: DataFrame, nodes: DataFrame, every: bool, percent: int) -> DataFrame:
-    """Distinct pairs (a, b), a < b, from rows (file, node, label)."""
-    known = rows.join(nodes.select("node", "n", "point"), "node").select("file", "node", "n", "label", "point")
-    return known.repartition("file").sortWithinPartitions("file").mapInArrow(_searcher(every, percent), "a long, b long").where("a < b").distinct()
+def _searched(rows: DataFrame, of: str, size: int, percent: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b, from rows (file, node, label, ...)."""
+    return rows.repartition("file").sortWithinPartitions("file").mapInArrow(_searcher(of, size, percent), "a long, b long").where("a < b").distinct()
+
+
+def _pointed(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows (file, node, label) with their sizes and points."""
+    return rows.join(nodes.select("node", "n", "point"), "node").select("file", "node", "label", "n", "point")
 
 
 def first_pairs(files: DataFrame, nodes: DataFrame, file_rows: int = FILE_ROWS, percent: int = PERCENT) -> DataFrame:
@@ -291,31 +345,46 @@ def first_pairs(files: DataFrame, nodes: DataFrame, file_rows: int = FILE_ROWS,
     leads = F.pmod(F.xxhash64("node"), F.col("rows")) < LEADERS
     parts = F.when(F.col("parts").isNull(), F.array(F.lit(0))).when(leads, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(part))
     spread = dealt.select(F.explode(parts).alias("part"), "file", "node").select(F.xxhash64("file", "part").alias("file"), "node", F.col("node").alias("label"))
-    return _searched(spread, nodes, False, percent)
+    return _searched(_pointed(spread, nodes), "partners", SIZE, percent)
 
 
-def other_pairs(files: DataFrame, nodes: DataFrame, labels: DataFrame, file_rows: int = FILE_ROWS, percent: int = PERCENT) -> DataFrame:
-    """All pairs that may link sets of different labels (node, label; a set without one is its own)."""
+def mixed(files: DataFrame, labels: DataFrame) -> DataFrame:
+    """(file, node, label, rows) of the files whose sets have several labels (node, label; a set without one is its own)."""
     known = files.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = known.groupBy("file").agg(F.count("*").alias("rows"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    rows = materialize(known.join(mixed.select("file", "rows"), "file").select("file", "node", "label", "rows"), "mixed")
+    several = known.groupBy("file").agg(F.count("*").alias("rows"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    return materialize(known.join(several.select("file", "rows"), "file").select("file", "node", "label", "rows"), "mixed")
+
+
+def dealt(rows: DataFrame, file_rows: int) -> DataFrame:
+    """(file, node, label): files of at most ``file_rows`` rows, in which all rows of different labels of one file meet.
+
+    In a large file the rows of its commonest label go to parts that do not
+    meet each other; the others meet all parts.
+    """
     small = rows.where(F.col("rows") <= file_rows).select("file", "node", "label")
-    # In a large file the rows of its commonest label go to parts that do not meet each other; the others meet all parts.
     large = rows.where(F.col("rows") > file_rows)
     commonest = large.groupBy("file", "label").agg(F.count("*").alias("same"), F.first("rows").alias("rows")).groupBy("file").agg(F.max(F.struct("same", "label")).alias("most"), F.first("rows").alias("rows"))
     half = max(1, file_rows // 2)
     commonest = commonest.select("file", F.col("most.label").alias("main"), F.ceil(F.col("most.same") / half).cast("int").alias("mains"), F.ceil((F.col("rows") - F.col("most.same")) / half).cast("int").alias("others"))
-    dealt = large.select("file", "node", "label").join(materialize(commonest, "commonest"), "file")
+    parts = large.select("file", "node", "label").join(materialize(commonest, "commonest"), "file")
     main = F.col("label") == F.col("main")
     part = F.pmod(F.xxhash64("node", F.lit(7)), F.when(main, F.col("mains")).otherwise(F.col("others"))).cast("int")
-    dealt = dealt.withColumn("is_main", main).withColumn("part", part)
+    parts = parts.withColumn("is_main", main).withColumn("part", part)
     pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
     others, mains = F.sequence(F.lit(0), F.col("others") - 1), F.sequence(F.lit(0), F.col("mains") - 1)
     meets = F.when(F.col("is_main"), F.transform(others, lambda j: pair(F.lit(-1) - F.col("part"), j))).otherwise(
         F.concat(F.transform(mains, lambda i: pair(F.lit(-1) - i, F.col("part"))), F.transform(others, lambda j: pair(F.least(j, F.col("part")), F.greatest(j, F.col("part")))))
     )
-    spread = dealt.select("file", "node", "label", F.explode(meets).alias("m")).select(F.xxhash64("file", "m.i", "m.j").alias("file"), "node", "label")
-    return _searched(small.unionByName(spread), nodes, True, percent)
+    spread = parts.select("file", "node", "label", F.explode(meets).alias("m")).select(F.xxhash64("file", "m.i", "m.j").alias("file"), "node", "label")
+    return small.unionByName(spread)
+
+
+def texts_of(named: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of the named nodes, read again rather than kept; of rows that repeat id and text one."""
+    wanted = nodes.join(named, "node").select("node", "sha", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "rows")
+    read = docs.select(_sha().alias("sha"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "text")
+    found = read.join(broadcast_small(materialize(wanted, "named")), ["sha", "id", "no_id"])
+    return found.where("rows = 1").select("node", "text").unionByName(found.where("rows > 1").select("node", "text").dropDuplicates(["node"]))
 
 
 def _verifier(size: int, percent: int):
@@ -354,11 +423,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int = SI
     turned = by.select(F.when(at_a, F.col("a")).otherwise(F.col("b")).alias("star"), F.when(at_a, F.col("b")).otherwise(F.col("a")).alias("node"), F.greatest("da", "db").alias("degree"))
     turned = materialize(turned.select("star", "node", F.pmod(F.xxhash64("node"), F.ceil(F.col("degree") / STAR)).cast("int").alias("salt")), "stars")
     roles = turned.select("star", "salt", F.lit(1).alias("member"), "node").unionByName(turned.select("star", "salt", F.lit(0).alias("member"), F.col("star").alias("node")).distinct())
-    # Texts of the nodes that pairs name, read again rather than kept; of rows that repeat id and text one.
-    named = nodes.join(ends.select("node"), "node").select("node", "sha", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "rows")
-    read = docs.select(_sha().alias("sha"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "text")
-    found = read.join(broadcast_small(materialize(named, "named")), ["sha", "id", "no_id"])
-    texts = found.where("rows = 1").select("node", "text").unionByName(found.where("rows > 1").select("node", "text").dropDuplicates(["node"]))
+    texts = texts_of(ends.select("node"), nodes, docs)
     rows = roles.join(texts, "node").select("star", "salt", "member", "node", "text")
     return rows.repartition("star", "salt").sortWithinPartitions("star", "salt", "member").mapInArrow(_verifier(size, percent), "a long, b long, links boolean").distinct()
 
@@ -380,10 +445,15 @@ def jaccard_components(
     judged = materialize(verified(pairs, nodes, docs, size, percent), "judged")
     links = judged.where("links").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     labels = materialize(connected_components(links).withColumnRenamed("component", "label"), "labels")
-    more = materialize(other_pairs(files, nodes, labels, file_rows, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    later = materialize(verified(more, nodes, docs, size, percent), "judged").where("links").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    joins = _searched(_pointed(dealt(mixed(files, labels), file_rows), nodes), "forest", size, percent)
+    known = labels.where("node <> label").select(F.col("node").alias("src"), F.col("label").alias("dst"))
+    joins = materialize(joins.select(F.col("a").alias("src"), F.col("b").alias("dst")), "joins")
+    clusters = materialize(connected_components(known.unionByName(joins)).select("node", F.col("component").alias("file")), "clusters")
+    texts_met = dealt(mixed(clusters, labels), min(file_rows, CLUSTER_ROWS))
+    texts_met = texts_met.join(texts_of(texts_met.select("node").distinct(), nodes, docs), "node").select("file", "node", "label", F.col("text").cast("binary").alias("text"))
+    later = materialize(_searched(texts_met, "links", size, percent), "links").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     # Labels stand for the links that made them.
-    found = connected_components(labels.where("node <> label").select(F.col("node").alias("src"), F.col("label").alias("dst")).unionByName(later))
+    found = connected_components(known.unionByName(later))
     part = heads.join(found.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = part.groupBy("label").agg(F.min("first").alias("component_id"))
     named = part.select("digest", "label").join(least, "label").select("digest", "component_id")
