@@ -194,11 +194,13 @@ def near_links(nodes: DataFrame, max_bits: int = 3, file_rows: int = FILE_ROWS)
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bits: int = 3) -> DataFrame:
     """(doc_id, bits, component_id) for every row: the smallest id that links reach, itself included."""
     own = materialize(fingerprints(docs, key, text), "fingerprints")
-    nodes = materialize(own.groupBy("bits").agg(F.min("doc_id").alias("first")).withColumn("node", F.coalesce("first", F.lit(2**63 - 1))), "nodes")
-    parts = connected_components(near_links(nodes.select("node", "bits"), max_bits))
-    named = nodes.join(parts, "node", "left").select("bits", F.coalesce("component", "first").alias("component_id"))
+    # A fingerprint is its own node; the least id goes with it, null where only rows without one have it.
+    nodes = materialize(own.groupBy("bits").agg(F.min("doc_id").alias("first")), "nodes")
+    parts = connected_components(near_links(nodes.select(F.col("bits").alias("node"), "bits"), max_bits))
+    part = nodes.join(parts, F.col("bits") == F.col("node"), "left").select("bits", "first", F.coalesce("component", "bits").alias("component"))
+    named = part.join(part.groupBy("component").agg(F.min("first").alias("component_id")), "component").select("bits", "component_id")
     # A fingerprint may have a third of all rows: an equi-join with one row a fingerprint, split where it is hot.
-    return own.join(named, "bits").select("doc_id", "bits", F.when(F.col("component_id") < 2**63 - 1, F.col("component_id")).alias("component_id"))
+    return own.join(named, "bits").select("doc_id", "bits", "component_id")
 
 
 def hex_digits(bits):

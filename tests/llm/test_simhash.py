@@ -105,3 +105,15 @@ def test_pivots_discard_only_pairs_out_of_range():
     i = np.arange(2000)
     left, _ = simhash._survivors(bits, table, i, i + 2000, 3)
     assert left.tolist() == np.flatnonzero(np.bitwise_count(flips) <= 3).tolist()
+
+
+def test_rows_without_ids_join_only_what_they_are_near(spark):
+    """Two rows without an id, near to two texts that are far from each other: they join nothing else."""
+    rng = random.Random(8)
+    one, two = ([f"w{rng.randrange(10**6)}" for _ in range(400)] for _ in range(2))
+    other = lambda words: " ".join([*words[:-1], "changed"])
+    rows = [(1, " ".join(one)), (None, other(one)), (2, " ".join(two)), (None, other(two)), (None, "alone"), (None, "alone"), (-5, "")]
+    prints = [(d, brute_fingerprint(t)) for d, t in rows]
+    assert (prints[0][1] ^ prints[2][1]).bit_count() > 20 and all((prints[i][1] ^ prints[i + 1][1]).bit_count() <= 3 for i in (0, 2))
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(zip([d for d, _ in rows], brute_components(prints)), key=repr)
