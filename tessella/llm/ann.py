@@ -31,8 +31,8 @@ two fifths of any table, and no forest can do with less.
 Defined cases: null vectors, zero vectors, and those with a null, NaN or
 infinite component take no part, nor do those of another length than the most
 frequent; queries without other candidates give no rows; ties go to the
-smaller id; rows that repeat an id are one entry each but are named once; an
-empty table gives no rows; extra columns are left out.
+smaller id; rows that repeat an id are one entry each, and the id is named
+once, at its least distance; an empty table gives no rows; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -43,12 +43,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.session import materialize
 
 SAMPLE, MOST_SAMPLE = 65_536, 524_288
+#: Bytes of sampled vectors that may come to the driver.
+MOST_BYTES = 268_435_456
 LEAF = 512
 LEAST_NODE = 8
 TREES = 16
@@ -91,6 +94,16 @@ class Forest:
         self._grow(tree, 2 * node + 1, rows[~right], sample, rng)
         self._grow(tree, 2 * node + 2, rows[right], sample, rng)
 
+    def state(self) -> tuple:
+        """What a broadcast carries: arrays and numbers, as workers have no copy of this class."""
+        return self.dim, self.depth, self.normal, self.middle, self.plane
+
+    @classmethod
+    def of(cls, state: tuple) -> "Forest":
+        forest = cls.__new__(cls)
+        forest.dim, forest.depth, forest.normal, forest.middle, forest.plane = state
+        return forest
+
     def leaves(self, vectors: np.ndarray) -> np.ndarray:
         """(trees, rows): each vector's leaf in each tree."""
         out = np.zeros((len(self.middle), len(vectors)), dtype=np.int64)
@@ -141,7 +154,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
 
 def _filer(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = shared.value
+        forest = Forest.of(shared.value)
         for batch in batches:
             vectors = _matrix(batch.column(1), forest.dim).astype(np.float32)
             for tree, leaves in enumerate(forest.leaves(vectors)):
@@ -152,7 +165,7 @@ def _filer(shared):
 
 def _prober(shared, probes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = shared.value
+        forest = Forest.of(shared.value)
         for batch in batches:
             vectors = _matrix(batch.column(1), forest.dim).astype(np.float32)
             found = [(i, t, leaf) for i, q in enumerate(vectors) for t, leaf in forest.probe(q, probes)]
@@ -185,21 +198,40 @@ def _ranker(dim: int, k: int):
         own, asked = leaf.column("entry").to_numpy(), probes.column("q").to_numpy()
         if not len(own) or not len(asked):
             return pa.table({"q": pa.array([], pa.int64()), "entry": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        order = np.argsort(own, kind="stable")  # so that a stable sort by distance leaves ties to the smaller id
-        own, vectors = own[order], _matrix(leaf.column("v").combine_chunks(), dim).astype(float)[order]
-        queries, most = _matrix(probes.column("qv").combine_chunks(), dim).astype(float), min(k + 1, len(own))
+        ids = leaf.column("ids").combine_chunks()
+        order = np.argsort(pc.list_element(ids, 0).to_numpy(), kind="stable")  # so that a stable sort by distance leaves ties to the smaller id
+        own, vectors, ids = own[order], _matrix(leaf.column("v").combine_chunks(), dim).astype(float)[order], ids.take(pa.array(order))
+        flat = ids.flatten().to_numpy()
+        single = len(flat) == len(own) and len(np.unique(flat)) == len(own)
+        named = None if single else ids.to_pylist()
+        queries = _matrix(probes.column("qv").combine_chunks(), dim).astype(float)
         q, entry, score = [], [], []
         for at in range(0, len(asked), 64):
             found = distances(queries[at : at + 64], vectors)
-            best = np.argsort(found, axis=1, kind="stable")[:, :most]
-            q.append(np.repeat(asked[at : at + 64], most))
-            entry.append(own[best].ravel())
-            score.append(np.take_along_axis(found, best, axis=1).ravel())
+            best = np.argsort(found, axis=1, kind="stable")
+            for i, near in enumerate(best):
+                near = near[: k + 1] if single else near[_new_names(near, named, k + 1)]
+                q.append(np.full(len(near), asked[at + i]))
+                entry.append(own[near])
+                score.append(found[i, near])
         return pa.table({"q": np.concatenate(q), "entry": np.concatenate(entry), "score": np.concatenate(score)})
 
     return run
 
 
+def _new_names(near: np.ndarray, named: list[list[int]], most: int) -> list[int]:
+    """Which entries, nearest first, bring an id that no nearer one has, until ``most`` ids are met."""
+    met: set[int] = set()
+    kept = []
+    for place, entry in enumerate(near.tolist()):
+        if len(met) >= most:
+            break
+        if not met.issuperset(named[entry]):
+            met.update(named[entry])
+            kept.append(place)
+    return kept
+
+
 def _judge(shared, k: int):
     """Each judge's k nearest of a partition, by distance."""
 
@@ -223,7 +255,7 @@ def _judge(shared, k: int):
 def calibrated(forest: Forest, entries: DataFrame, asked: DataFrame, k: int, judges: int = JUDGES, recall: float = RECALL) -> int:
     """The least number of leaves that shows ``recall`` of the true neighbours of ``judges`` queries."""
     spark = entries.sparkSession
-    picked = asked.dropDuplicates(["entry"]).orderBy(F.xxhash64("entry"), "entry").limit(judges).select("entry", "v").toArrow()
+    picked = asked.dropDuplicates(["entry"]).orderBy(F.xxhash64("v"), "v").limit(judges).select("entry", "v").toArrow()
     if not picked.num_rows:
         return 1
     queries = _matrix(picked.column("v").combine_chunks(), forest.dim).astype(float)
@@ -246,14 +278,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_i
     rows = rows.where(F.size("v") == dim)
     # The rank by vector keeps k + 1 rows of each before it shuffles them.
     least = rows.distinct().withColumn("r", F.expr("row_number() over (partition by v order by id)")).where(F.col("r") <= k + 1)
-    entries = materialize(least.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("entry"), "v", "ids"), "entries")
+    entries = materialize(least.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.monotonically_increasing_id().alias("entry"), "v", "ids"), "entries")
     n = entries.count()
-    taken = entries.orderBy(F.xxhash64("entry"), "entry").limit(max(sample, min(n // 64, MOST_SAMPLE))).select("v").toArrow().column("v").combine_chunks()
+    taken = entries.orderBy(F.xxhash64("v"), "v").limit(min(max(sample, min(n // 64, MOST_SAMPLE)), MOST_BYTES // (8 * dim))).select("v").toArrow().column("v").combine_chunks()
     forest = Forest(_matrix(taken, dim).astype(np.float32) if len(taken) else np.zeros((0, dim), dtype=np.float32), trees, leaf, rows=n)
-    shared = spark.sparkContext.broadcast(forest)
+    shared = spark.sparkContext.broadcast(forest.state())
     asked = materialize(rows.where(is_query).distinct().join(entries.select("entry", "v"), "v").select("id", "entry", "v"), "asked")
     probes = calibrated(forest, entries, asked, k) if probes is None else probes
-    filed = entries.select("entry", "v").mapInArrow(_filer(shared), "tree int, leaf long, entry long, v array<double>")
+    filed = entries.select("entry", "v", "ids").mapInArrow(_filer(shared), "tree int, leaf long, entry long, v array<double>, ids array<long>")
     queries = asked.select(F.col("entry").alias("q"), F.col("v").alias("qv")).dropDuplicates(["q"])
     probed = materialize(queries.mapInArrow(_prober(shared, probes), "tree int, leaf long, q long, qv array<double>"), "probed")
     # One row for each leaf of the forest that outgrows a task: fewer than the forest, which every worker holds anyway.
@@ -267,9 +299,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_i
     by = ["tree", "leaf", "part", "ask"]
     pairs = filed.groupBy(*by).cogroup(probed.groupBy(*by)).applyInArrow(_ranker(dim, k), "q long, entry long, score double")
     pairs = pairs.groupBy("q", "entry").agg(F.min("score").alias("score"))
-    best = pairs.withColumn("r", F.expr("row_number() over (partition by q order by score, entry)")).where(F.col("r") <= k + 1)
-    named = best.join(entries.select("entry", "ids"), "entry").select("q", "score", F.explode("ids").alias("id"))
-    named = named.withColumn("r", F.expr("row_number() over (partition by q order by score, id)")).where(F.col("r") <= k + 1)
+    named = pairs.join(entries.select("entry", "ids"), "entry").select("q", "score", F.explode("ids").alias("id"))
+    named = named.groupBy("q", "id").agg(F.min("score").alias("score")).withColumn("r", F.expr("row_number() over (partition by q order by score, id)")).where(F.col("r") <= k + 1)
     answers = asked.select(F.col("id").alias("query_id"), F.col("entry").alias("q")).join(named.select("q", "id", "score"), "q").where("id <> query_id")
+    answers = answers.groupBy("query_id", "id").agg(F.min("score").alias("score"))
     ranked = answers.withColumn("rank", F.expr("row_number() over (partition by query_id order by score, id)")).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "id", "score")

@@ -106,3 +106,24 @@ def test_depth_follows_the_table_as_far_as_the_sample_bears():
     assert ann.Forest(sample, 1, 10, rows=10**9).depth == 7
     assert ann.Forest(sample, 1, 100, rows=1000).depth == 4
     assert ann.Forest(sample[:0], 2).depth == 0
+
+
+def test_ids_with_several_vectors_are_named_once(spark):
+    """Ids repeat with other vectors, one of them a hundred times; k distinct ids come back, each at its least distance."""
+    rng = np.random.default_rng(11)
+    rows = [(i, rng.standard_normal(3).round(2).tolist()) for i in range(60)]
+    rows += [(i, rng.standard_normal(3).round(2).tolist()) for i in (0, 5, 5, 8, 35, 0)] + [(5, (np.array(rows[0][1]) + 0.001 * j).round(3).tolist()) for j in range(100)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    exact = [(i, np.array(v, dtype=np.float32).astype(float)) for i, v in rows]
+    got = {}
+    for r in ann.nearest(frame, F.col("id") % 10 == 0, 10, leaf=16, probes=10_000, part=12).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.id, r.score))
+    for q in range(0, 60, 10):
+        least = {}
+        for i, v in exact:
+            for j, w in exact:
+                if i == q and j != q:
+                    least[j] = min(least.get(j, np.inf), float(np.sqrt(((v - w) ** 2).sum())))
+        want = sorted((d, j) for j, d in least.items())[:10]
+        assert [a[1] for a in sorted(got[q])] == [j for _, j in want]
+        np.testing.assert_allclose([a[2] for a in sorted(got[q])], [d for d, _ in want], rtol=1e-12)
