@@ -265,7 +265,7 @@ def _scorer(shared, at: int, kept: int):
     """Scores column ``at`` of its batches; passes the first ``kept`` columns on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = Model(*shared.value)
         for batch in batches:
             found = model.score(logits((t.as_py() for t in batch.column(at)), model))
             yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(found)], names=[*batch.schema.names[:kept], "score"])
@@ -312,7 +312,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = PER
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The ``keep`` columns of every row and its ``score`` (0 to 1)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Numbers, not an instance: broadcasts are pickled by reference, and workers have no copy of this package.
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.constant))
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     read = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).alias("_text"))
     at = keep.index(text) if text in keep else len(keep)
