@@ -127,5 +127,59 @@ from low
 """
 
 
+JACCARD = r"""
+with recursive split as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), listed as (
+  select doc_id, case when len(w) >= 4 then list_distinct([array_to_string(w[i : i + 3], ' ') for i in range(1, len(w) - 2)]) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as held from split
+), single as (
+  select doc_id, unnest(held) as shingle from listed
+), shared as (
+  select a.doc_id as a, b.doc_id as b, count(*) as n from single a join single b on a.shingle = b.shingle and a.doc_id < b.doc_id group by all
+), links as (
+  select a, b from shared s join listed x on x.doc_id = s.a join listed y on y.doc_id = s.b where 100 * n >= 85 * (len(x.held) + len(y.held) - n)
+), both_ways as (
+  select a, b from links union all select b, a from links
+), reached(doc_id, other) as (
+  select doc_id, doc_id from documents union select r.doc_id, l.b from reached r join both_ways l on l.a = r.other
+)
+select doc_id, cast(len(held) as bigint) as n_shingles, (select min(other) from reached r where r.doc_id = l.doc_id) as component_id from listed l
+"""
+
+TRIE = r"""
+with recursive placed as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), sha256(coalesce(text, ''))) as pos, coalesce(role, '') as role, coalesce(text, '') as text
+  from conversations where conv_id is not null
+), convs as (
+  select conv_id, count(*) as own, conv_id - conv_id % 20 as base,
+    xor(list_reduce([4294967295::bigint] || [ascii(c)::bigint for c in string_split(conv_id::varchar, '')], lambda crc, byte:
+      list_reduce([xor(crc, byte)] || [0::bigint for i in range(8)], lambda v, i: case when v & 1 = 1 then xor(v >> 1, 3988292384::bigint) else v >> 1 end)), 4294967295::bigint) % 4 as h
+  from placed group by conv_id
+), known as (
+  select c.*, least(c.h, coalesce(b.own, 0)) as taken from convs c left join convs b on b.conv_id = c.base
+), rebuilt as (
+  select k.conv_id, pos as depth, role, text from known k join placed p on p.conv_id = k.base and pos <= taken
+  union all
+  select k.conv_id, pos - h + taken, role, text from known k join placed p on p.conv_id = k.conv_id and pos > h
+), paths as (
+  select conv_id, depth, text, string_agg(md5(length(role) || ' ' || role || text), '') over (partition by conv_id order by depth rows unbounded preceding) as path from rebuilt
+  union all select conv_id, 0, '', '' from convs
+), nodes as (
+  select path, depth, min(conv_id) as conv_id, count(*) as n_convs, (count(*) - 1) * len(regexp_extract_all(any_value(text), '[^\x20\x09-\x0D]+')) as saved from paths group by path, depth
+), branched as (
+  select left(path, 32 * (depth - 1)) as path, count(*) as n_children from nodes where depth > 0 group by 1
+), summed as (
+  select a.path, sum(case when b.path is null then 1 else 0 end) as n_leaves, sum(saved) as saved_tokens
+  from nodes n join paths a on a.conv_id = n.conv_id and a.depth <= n.depth left join branched b on b.path = n.path group by a.path
+), last as (
+  select conv_id, max(depth) as depth from paths group by conv_id
+), ended as (
+  select path, string_agg(conv_id::varchar, ',' order by conv_id) as ids from paths join last using (conv_id, depth) group by path
+)
+select n.conv_id, n.depth, u.conv_id as parent_conv_id, n.n_convs, coalesce(n_children, 0) as n_children, cast(n_leaves as bigint) as n_leaves, cast(saved_tokens as bigint) as saved_tokens, sha256(coalesce(ids, '')) as ends_sha256
+from nodes n join summed using (path) left join branched using (path) left join ended using (path) left join nodes u on n.depth > 0 and u.path = left(n.path, 32 * (n.depth - 1))
+"""
+
+
 def oracle_sql(site_rules) -> dict[str, str]:
-    return {"op1_warc": WARC, "op4_chat_format": CHAT, "op5_mixing": MIXING, "op10_url_filter": _urls(site_rules)}
+    return {"op1_warc": WARC, "op4_chat_format": CHAT, "op5_mixing": MIXING, "op10_url_filter": _urls(site_rules), "op12_jaccard": JACCARD, "op13_trie": TRIE}
