@@ -39,7 +39,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     read = docs.select(*COLUMNS, _digest().alias("sha")).where("doc_id is not null")
     thin = materialize(read.groupBy("doc_id", "sha").agg(F.count("*").alias("copies")), "rows")
-    least = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    least = simhash.near_duplicates(docs.where("doc_id is not null")).where("doc_id = component_id").select("doc_id").distinct()
     stay = thin.groupBy("doc_id").agg(F.min("sha").alias("sha")).join(least, "doc_id", "left_semi").withColumn("stays", F.lit(True))
     special = materialize(thin.join(stay, ["doc_id", "sha"], "left").where("stays is null or copies > 1").select("doc_id", "sha", "stays"), "special")
     single = read.join(broadcast_small(special.select("doc_id", "sha")), ["doc_id", "sha"], "left_anti")
