@@ -380,11 +380,16 @@ def dealt(rows: DataFrame, file_rows: int) -> DataFrame:
 
 
 def texts_of(named: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, text) of the named nodes, read again rather than kept; of rows that repeat id and text one."""
-    wanted = nodes.join(named, "node").select("node", "sha", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "rows")
+    """Rows that name nodes, with the texts of these, read again rather than kept; of documents that repeat id and text one.
+
+    What is named goes to the texts (it is broadcast if counted to be few), so a
+    text travels once, to where the row is wanted.
+    """
+    wanted = nodes.join(named, "node").select(*named.columns, "sha", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "times")
     read = docs.select(_sha().alias("sha"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "text")
     found = read.join(broadcast_small(materialize(wanted, "named")), ["sha", "id", "no_id"])
-    return found.where("rows = 1").select("node", "text").unionByName(found.where("rows > 1").select("node", "text").dropDuplicates(["node"]))
+    columns = [*named.columns, "text"]
+    return found.where("times = 1").select(*columns).unionByName(found.where("times > 1").select(*columns).dropDuplicates(named.columns))
 
 
 def _verifier(size: int, percent: int):
@@ -423,8 +428,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int = SI
     turned = by.select(F.when(at_a, F.col("a")).otherwise(F.col("b")).alias("star"), F.when(at_a, F.col("b")).otherwise(F.col("a")).alias("node"), F.greatest("da", "db").alias("degree"))
     turned = materialize(turned.select("star", "node", F.pmod(F.xxhash64("node"), F.ceil(F.col("degree") / STAR)).cast("int").alias("salt")), "stars")
     roles = turned.select("star", "salt", F.lit(1).alias("member"), "node").unionByName(turned.select("star", "salt", F.lit(0).alias("member"), F.col("star").alias("node")).distinct())
-    texts = texts_of(ends.select("node"), nodes, docs)
-    rows = roles.join(texts, "node").select("star", "salt", "member", "node", "text")
+    rows = texts_of(roles, nodes, docs).select("star", "salt", "member", "node", "text")
     return rows.repartition("star", "salt").sortWithinPartitions("star", "salt", "member").mapInArrow(_verifier(size, percent), "a long, b long, links boolean").distinct()
 
 
@@ -437,9 +441,9 @@ def jaccard_components(
     heads = sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first"), F.min("row").alias("node"), F.count("*").alias("copies"))
     heads = materialize(heads, "heads")
     copies = materialize(sets.where("n > 0").select("digest", F.col("row").alias("node")).join(heads.where("copies > 1").select("digest", F.col("node").alias("head")), "digest").where("node <> head").select("node"), "copies")
-    repeated = materialize(sets.where("n > 0").groupBy("sha", "doc_id").agg(F.count("*").alias("rows"), F.min("row").alias("node")).where("rows > 1").select("node", "rows"), "repeated")
+    repeated = materialize(sets.where("n > 0").groupBy("sha", "doc_id").agg(F.count("*").alias("times"), F.min("row").alias("node")).where("times > 1").select("node", "times"), "repeated")
     nodes = sets.where("n > 0").withColumnRenamed("row", "node").join(broadcast_small(copies), "node", "left_anti")
-    nodes = nodes.join(broadcast_small(repeated), "node", "left").withColumn("rows", F.coalesce("rows", F.lit(1)))
+    nodes = nodes.join(broadcast_small(repeated), "node", "left").withColumn("times", F.coalesce("times", F.lit(1)))
     files = materialize(filed(nodes), "files")
     pairs = materialize(first_pairs(files, nodes, file_rows, percent), "pairs")
     judged = materialize(verified(pairs, nodes, docs, size, percent), "judged")
@@ -449,8 +453,7 @@ def jaccard_components(
     known = labels.where("node <> label").select(F.col("node").alias("src"), F.col("label").alias("dst"))
     joins = materialize(joins.select(F.col("a").alias("src"), F.col("b").alias("dst")), "joins")
     clusters = materialize(connected_components(known.unionByName(joins)).select("node", F.col("component").alias("file")), "clusters")
-    texts_met = dealt(mixed(clusters, labels), min(file_rows, CLUSTER_ROWS))
-    texts_met = texts_met.join(texts_of(texts_met.select("node").distinct(), nodes, docs), "node").select("file", "node", "label", F.col("text").cast("binary").alias("text"))
+    texts_met = texts_of(dealt(mixed(clusters, labels), min(file_rows, CLUSTER_ROWS)), nodes, docs).select("file", "node", "label", F.col("text").cast("binary").alias("text"))
     later = materialize(_searched(texts_met, "links", size, percent), "links").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     # Labels stand for the links that made them.
     found = connected_components(known.unionByName(later))
