@@ -79,18 +79,18 @@ def prefix_nodes(turns: DataFrame, convs: DataFrame) -> tuple[DataFrame, DataFra
     before = [F.min(F.col(f"sum_{i}") - F.col(f"own_{i}")).alias(f"up_{i}") for i in range(PARTS)]
     nodes = materialize(chained.groupBy("depth", *sums).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"), F.min("words").alias("words"), *before), "nodes")
     up = nodes.select((F.col("depth") + 1).alias("depth"), *[F.col(s).alias(f"up_{i}") for i, s in enumerate(sums)], F.col("conv_id").alias("parent"))
-    everyone = convs.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs")).where("n_convs > 0")
-    top = everyone.select("conv_id", F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("parent_conv_id"), "n_convs", F.lit(0).cast("long").alias("words"))
+    # One row: the root's smallest member and how many there are.
+    least, n = convs.agg(F.min("conv_id"), F.count("*")).first()
+    level = F.lit(0).cast("long")
+    top = turns.sparkSession.createDataFrame([(least, 0, None, n, 0)] if n else [], "conv_id long, depth long, parent_conv_id long, n_convs long, words long")
     # Parents of first turns are the root, which has no sums.
-    root = F.broadcast(everyone.select(F.lit(0).cast("long").alias("above"), F.col("conv_id").alias("parent")))
-    first = nodes.where("depth = 1").join(root, nodes["depth"] - 1 == root["above"])
+    first = nodes.where("depth = 1").withColumn("parent", F.lit(least).cast("long"))
     deeper = nodes.where("depth > 1").join(up, ["depth", *[f"up_{i}" for i in range(PARTS)]])
     columns = ["conv_id", "depth", F.col("parent").alias("parent_conv_id"), "n_convs", "words"]
     known = top.unionByName(first.select(*columns)).unionByName(deeper.select(*columns))
     last = chained.groupBy("conv_id").agg(F.max("depth").alias("depth"))
     ends = last.join(chained, ["conv_id", "depth"]).join(nodes.select("depth", *sums, F.col("conv_id").alias("node_conv")), ["depth", *sums]).select("conv_id", "node_conv", "depth")
-    nowhere = convs.join(last, "conv_id", "left_anti").withColumn("depth", F.lit(0).cast("long"))
-    nowhere = nowhere.join(root, nowhere["depth"] == root["above"]).select("conv_id", F.col("parent").alias("node_conv"), "depth")
+    nowhere = convs.join(last, "conv_id", "left_anti").select("conv_id", F.lit(least).cast("long").alias("node_conv"), level.alias("depth"))
     return known, ends.unionByName(nowhere)
 
 
