@@ -52,7 +52,7 @@ def allocate(rows: DataFrame, key: str, categories: dict[str, Column], quota: in
 def balance(rows: DataFrame, source: str, direction: str, quality: str, key: str, quota: int) -> DataFrame:
     """``quota`` rows, taken in turn from each (source, direction): the best of each first."""
     place = F.row_number().over(Window.partitionBy(source, direction).orderBy(F.desc(quality), salted_hash("balance", F.col(key)), F.col(key)))
-    return rows.withColumn("round", place).orderBy("round", salted_hash("turn", F.col(key)), key).limit(quota)
+    return rows.withColumn("round", place).where(F.col("round") <= quota).orderBy("round", salted_hash("turn", F.col(key)), key).limit(quota)
 
 
 def upsert(base: DataFrame, patch: DataFrame, key: str, position: str) -> DataFrame:

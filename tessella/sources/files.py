@@ -123,6 +123,30 @@ def write_capped(df: DataFrame, path: str, cap: int, order: list[Column]) -> dic
     return {"total": total, "written": min(cap, total), "truncated": total > cap}
 
 
+def write_sinks(df: DataFrame, path: str, sink: str, sinks: list[str], cap: int | None = None, order: list[Column] = ()) -> dict[str, dict]:
+    """Rows as JSON lines, a folder ``sink=<name>`` for each sink; says of each how many rows there were and how many were kept.
+
+    The managed ``sinks`` are reset first, so that one without rows is left
+    empty rather than with what it held; rows of other sinks are not written,
+    and counted under None. ``df`` is read once: all counts come from one
+    observation of that read, and ``cap`` keeps the first rows of each sink in
+    ``order``, ranked within each task before they are shuffled.
+    """
+    spark = df.sparkSession
+    name = F.col(sink).cast("string")
+    for known in sinks:
+        delete_path(spark, f"{path.rstrip('/')}/{sink}={known}")
+    seen = Observation()
+    counts = [F.count_if(name == known).alias(f"n{i}") for i, known in enumerate(sinks)]
+    kept = df.observe(seen, F.count(F.lit(1)).alias("all"), *counts).where(name.isin(*sinks) if sinks else F.lit(False))
+    if cap is not None:
+        kept = kept.withColumn("_place", F.row_number().over(Window.partitionBy(sink).orderBy(*order))).where(F.col("_place") <= cap).drop("_place")
+    kept.write.mode("append").partitionBy(sink).json(path)
+    n = {known: seen.get[f"n{i}"] for i, known in enumerate(sinks)}
+    out = {known: {"total": n[known], "written": n[known] if cap is None else min(cap, n[known]), "truncated": cap is not None and n[known] > cap} for known in sinks}
+    return out | {None: {"total": seen.get["all"] - sum(n.values()), "written": 0, "truncated": False}}
+
+
 def replace_table(df: DataFrame, path: str) -> int:
     """Rebuild aside, verify the count, then swap: the old table is renamed aside, and back if the new one cannot take its place.
 
