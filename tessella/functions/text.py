@@ -1,4 +1,4 @@
-"""Text functions: Column in, Column out, all inside code generation."""
+"""Text functions: Column in, Column out. All are inside code generation but ``nfc`` and ``unescape``, which call Java by ``reflect``."""
 
 from __future__ import annotations
 
@@ -14,8 +14,11 @@ MASKS = (
     ("name", r"(?U)(?:我叫|姓名\s*[:：]?\s*)([\x{3400}-\x{9fff}·]{2,8})", "[NAME]"),
     ("address", r"(?U)(?:家住|住在|地址\s*(?:是|[:：])?)\s*[^，。；;\n]{3,50}", "[ADDRESS]"),
 )
+#: What counts as an address, and as a control character.
 URL = r"(?U)(?i)https?://\S+|www\.\S+"
 CONTROL = r"[\x{0}-\x{8}\x{b}\x{c}\x{e}-\x{1f}\x{7f}]"
+#: A tag begins with a letter right after its bracket, or after a slash.
+TAG = r"(?s)<!--.*?-->|<[A-Za-z][^>]*>|</[A-Za-z][^>]*>|<[!?][^>]*>"
 WORD = r"[\p{L}\p{N}]+"
 
 
@@ -37,8 +40,14 @@ def unique(values: Column) -> Column:
 
 
 def dedupe_key(text: Column) -> Column:
-    """Lower case, ASCII letters, digits and CJK only."""
-    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^0-9a-z\x{3400}-\x{9fff}]", "")
+    """Case folded, ASCII letters, digits and CJK only."""
+    return F.regexp_replace(casefold(F.coalesce(text, F.lit(""))), r"[^0-9a-z\x{3400}-\x{9fff}]", "")
+
+
+def casefold(text: Column) -> Column:
+    """Lower case in which letters that are written as several in upper case are those: \u00df, ligatures and the like."""
+    # The empty text keeps the planner from dropping the step through upper case.
+    return F.lower(F.concat(F.upper(F.concat(F.lower(text), F.lit(""))), F.lit("")))
 
 
 def let(value: Column, body) -> Column:
@@ -87,8 +96,8 @@ def tokenize(text: Column, stop: tuple[str, ...] = ()) -> Column:
 
 
 def strip_html(text: Column) -> Column:
-    """Tags out, where the text has both brackets."""
-    return F.when(F.contains(text, F.lit("<")) & F.contains(text, F.lit(">")), F.regexp_replace(text, "<[^>]*>", "")).otherwise(text)
+    """Tags, comments and declarations out; a bracket that opens none of them is text."""
+    return F.when(F.contains(text, F.lit("<")) & F.contains(text, F.lit(">")), F.regexp_replace(text, TAG, "")).otherwise(text)
 
 
 def nfc(text: Column) -> Column:

@@ -56,7 +56,7 @@ def polarity_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.first_samples(load(spark, sf_dir, "conversations"), "conv_id", "turn", "text", SAMPLES)
 
 
-@query(f"with r as (select conv_id || ':' || turn as key, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) as t, regexp_replace(lower(coalesce(text, '')), '[^0-9a-z\\x{{3400}}-\\x{{9fff}}]', '', 'g') as norm from conversations) select sha256(norm) as hash, min(key) as key from r where length(t) between 8 and 300 and norm <> '' and not regexp_matches(t, '{EMAIL}') and not regexp_matches(t, '{PHONE}') and not regexp_matches(t, '^[A-Z]') group by 1")
+@query(f"with r as (select conv_id || ':' || turn as key, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) as t, regexp_replace(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[^0-9a-z\\x{{3400}}-\\x{{9fff}}]', '', 'g') as norm from conversations) select sha256(norm) as hash, min(key) as key from r where length(t) between 8 and 300 and norm <> '' and not regexp_matches(t, '{EMAIL}') and not regexp_matches(t, '{PHONE}') and not regexp_matches(t, '^[A-Z]') group by 1")
 def candidate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns that may become questions: of fair length, without personal data or a template's opening, each once."""
     rows = load(spark, sf_dir, "conversations").withColumn("key", F.concat_ws(":", "conv_id", "turn"))

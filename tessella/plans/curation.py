@@ -100,7 +100,7 @@ PART = "case when doc_id % 2 = 0 or doc_id % 97 = 0 then 'development_only' else
 
 
 @query(f"""
-with r as (select doc_id, source, text, {ROLE} as role, {PART} as part, sha256(coalesce(text, '')) as hash, regexp_replace(lower(coalesce(text, '')), '[^0-9a-z\\x{{3400}}-\\x{{9fff}}]', '', 'g') as k from documents), {PAIRS_SQL},
+with r as (select doc_id, source, text, {ROLE} as role, {PART} as part, sha256(coalesce(text, '')) as hash, regexp_replace(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[^0-9a-z\\x{{3400}}-\\x{{9fff}}]', '', 'g') as k from documents), {PAIRS_SQL},
 l as (select doc_id, toxic from labels)
 select rule, cast(n as bigint) as n from (
   select 'partition_mismatch' as rule, count(*) as n from r where role <> part

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions import hashing, markdown, text
 from tessella.operators import dedup, metrics, profile, splits
 from tessella.plans.registry import query
+from tessella.session import broadcast_small, materialize
 from tessella.sources.tables import load
 
 EMAIL = r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9.-]+"
@@ -37,7 +38,7 @@ def pii_residual_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").groupBy(text.first_rule(F.col("text"), [(EMAIL, "email"), (PHONE, "phone")], "none").alias("residual")).agg(F.count("*").alias("docs"))
 
 
-KEY_SQL = "regexp_replace(lower(text), '[^0-9a-z\\x{3400}-\\x{9fff}]', '', 'g')"
+KEY_SQL = "regexp_replace(replace(lower(text), 'ß', 'ss'), '[^0-9a-z\\x{3400}-\\x{9fff}]', '', 'g')"
 
 
 @query(f"select case when length({KEY_SQL}) < 4 then 'too_short' when length(text) > 2000 then 'too_long' else 'kept' end as drop_reason, source, count(*) as docs from documents group by 1, 2")
@@ -144,13 +145,23 @@ bg as (select distinct item_id, list_aggregate(w[i:i + 9], 'string_agg', ' ') as
 select doc_id, item_id, count(*) as shared from dg join bg using (g) group by 1, 2
 """)
 def contamination_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def shingles(table: str, key: str) -> DataFrame:
-        w = load(spark, sf_dir, table).select(key, text.words(F.col("text")).alias("w")).where(F.size("w") >= 10)
-        grams = F.transform(F.sequence(F.lit(1), F.size("w") - 9), lambda i: F.array_join(F.slice("w", i, F.lit(10)), " "))
-        return w.select(key, F.explode(F.array_distinct(grams)).alias("g"))
-
-    # The benchmark side is the small one; its grams reach the scan of documents as a join, not as a product.
-    return shingles("documents", "doc_id").join(shingles("benchmark", "item_id"), "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+    def tokens(table: str, key: str) -> DataFrame:
+        return load(spark, sf_dir, table).select(key, text.words(F.col("text")).alias("w")).where(F.size("w") >= 10)
+
+    def hashed(rows: DataFrame, key: str) -> DataFrame:
+        places = F.sequence(F.lit(1), F.size("w") - 9)
+        each = text.let(F.transform("w", lambda x: F.xxhash64(x)), lambda h: F.transform(places, lambda i: F.xxhash64(*[F.element_at(h, i + k) for k in range(10)])))
+        return rows.select(key, F.explode(F.array_distinct(each)).alias("g"))
+
+    def grams(w: str):
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 9), lambda i: F.array_join(F.slice(w, i, F.lit(10)), " ")))
+
+    docs, items = tokens("documents", "doc_id"), tokens("benchmark", "item_id")
+    # Hashes of ten words find the pairs; only these are compared word by word. The benchmark's hashes are broadcast if counted to be few.
+    known = broadcast_small(materialize(hashed(items, "item_id"), "benchmark"))
+    pairs = broadcast_small(materialize(hashed(docs, "doc_id").join(known, "g").select("doc_id", "item_id").distinct(), "pairs"))
+    both = docs.join(pairs, "doc_id").join(items.withColumnRenamed("w", "v"), "item_id")
+    return both.select("doc_id", "item_id", F.size(F.array_intersect(grams("w"), grams("v"))).cast("long").alias("shared")).where("shared > 0")
 
 
 @query("select doc_id, left(sha256(source || chr(31) || cast(doc_id as varchar)), 24) as stable_id, left(sha256('salt|' || cast(doc_id as varchar)), 16) as salted, case when left(sha256('query-split' || chr(31) || cast(doc_id as varchar)), 16) < '2666666666666600' then 'dev' else 'train' end as split from documents")

@@ -15,6 +15,7 @@ from tessella.operators import dedup, gate, lexicon, matcher, metrics, retrieval
 from tessella.operators.neighbours import previous
 from tessella.plans.documents import COMPONENTS_SQL
 from tessella.plans.registry import query
+from tessella.session import materialize
 from tessella.sources.tables import load
 
 TOK = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
@@ -26,7 +27,8 @@ def doc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entry_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, source, term, df, rn): the 12 rarest catalogue words of each document."""
-    each = doc_words(spark, sf_dir).select("doc_id", "source", F.explode(F.array_distinct("w")).alias("term"))
+    # Written once: both the counts and the join read it.
+    each = materialize(doc_words(spark, sf_dir).select("doc_id", "source", F.explode(F.array_distinct("w")).alias("term")), "postings")
     df = each.groupBy("term").agg(F.count("*").alias("df")).where("df between 2 and 40")
     return retrieval.top_k(each.join(df, "term"), ["doc_id"], [F.asc("df"), F.asc("term")], 12, "rn")
 

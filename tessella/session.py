@@ -29,7 +29,7 @@ def get_session(app: str = "tessella", master: str | None = None, **conf: str) -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, the warehouse, or for a local master a temporary folder."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, a temporary folder for a local master, or else the warehouse if it is no local folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
@@ -37,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not own:
         local = spark.sparkContext.master.startswith("local")
         own = "file://" + tempfile.mkdtemp(prefix="tessella-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if not local and own.startswith(("file:", "/", "spark-warehouse")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share: the warehouse is a folder of each machine's own")
         spark.conf.set("spark.tessella.sharedDir", own)
     return own
 

@@ -19,6 +19,9 @@ def test_clean_and_keys(spark):
     assert one(spark, text.clean_text, None) == ""
     assert one(spark, text.unique, [" a", "b", "a ", ""], "array<string>") == ["a", "b"]
     assert one(spark, text.dedupe_key, "Äb-C 中!1") == "bc中1"
+    assert [one(spark, text.dedupe_key, t) for t in ("Straße", "STRASSE", "STRAẞE", "ﬁn", "ſo", "İ")] == ["strasse", "strasse", "strasse", "fin", "so", "i"]
+    assert one(spark, text.strip_html, "a < b and c > d") == "a < b and c > d"
+    assert one(spark, text.strip_html, "<p class='x'>a</p> <!-- b > c --> 1 <2> <br/>d <!DOCTYPE x>") == "a  1 <2> d "
     assert sorted(one(spark, text.char_ngrams, "abcab")) == ["abc", "bca", "cab"]
     assert one(spark, text.char_ngrams, "ab") == ["ab"] and one(spark, text.char_ngrams, "") == []
     assert one(spark, lambda c: text.grams_of(c, 2), "a😀b") == ["a😀", "😀b"]
@@ -50,7 +53,7 @@ def test_near_duplicates(spark):
     assert got == {0: 0, 1: 0, 2: 2, 3: 0}
     links = spark.createDataFrame([(0, 1), (1, 2)], "a long, b long")
     members = spark.createDataFrame([(i, 0) for i in range(3)], "id long, component long")
-    assert {r.id: r.kept for r in dedup.greedy_keep(links, members).collect()} == {0: True, 1: False, 2: True}
+    assert {r.id for r in dedup.greedy_dropped(links).collect()} == {1}
 
 
 def test_components_of_chains_stars_and_loops(spark):
