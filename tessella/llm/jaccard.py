@@ -65,7 +65,9 @@ LEADERS = 32
 #: Members of one leader that are verified in one task.
 STAR = 256
 BUCKET_BITS = 18
-WORDS_HELD = 500_000
+WORDS_HELD = 150_000
+#: Texts of one Arrow batch that are described before they are handed on.
+PIECE = 1_000
 RUN = 1_000_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -144,7 +146,7 @@ def described(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Data
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, table = _Words(), counts.value
-        for batch in batches:
+        for batch in (whole.slice(at, PIECE) for whole in batches for at in range(0, whole.num_rows, PIECE)):
             sizes, digests, points, keys = [], [], [], []
             for text in _texts(batch, 2):
                 found = shingles(text, size, held)
