@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.plans import cases, curation, dialogues, documents, language, relational, retrieval, search
+from tessella.plans import cases, curation, dialogues, documents, language, relational, retrieval, search, texts
 from tessella.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "cases", "curation", "dialogues", "documents", "language", "relational", "retrieval", "search"]
+__all__ = ["QUERIES", "SQL", "cases", "curation", "dialogues", "documents", "language", "relational", "retrieval", "search", "texts"]

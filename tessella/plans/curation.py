@@ -114,7 +114,7 @@ select rule, cast(n as bigint) as n from (
   union all select 'residual_id_card', count(*) from r where regexp_matches(text, '[0-9]{{17}}[0-9Xx]')
   union all select 'duplicate_pair_id', count(*) from (select pair_id from p group by 1 having count(*) > 1)
   union all select 'empty_answer', count(*) from p where coalesce(trim(answer), '') = ''
-  union all select 'answer_leakage', count(*) from p where length(answer) >= 10 and contains(question, left(answer, 10))
+  union all select 'answer_leakage', count(*) from p where length(answer) >= 10 and length(question) >= 10 and list_has_any(list_transform(range(1, length(question) - 8), lambda i: substr(question, cast(i as int), 10)), list_transform(range(1, length(answer) - 8), lambda i: substr(answer, cast(i as int), 10)))
   union all select 'orphan_label', count(*) from l where doc_id not in (select doc_id from documents where doc_id is not null)
   union all select 'conflicting_label', count(*) from (select doc_id from l group by 1 having count(distinct toxic) > 1))
 """)
