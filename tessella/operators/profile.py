@@ -40,3 +40,23 @@ def reconcile(a: DataFrame, b: DataFrame, by: str) -> DataFrame:
     count = lambda df, name: df.groupBy(by).agg(F.count("*").alias(name))
     both = count(a, "n_a").join(count(b, "n_b"), by, "full").select(by, F.coalesce("n_a", F.lit(0)).alias("n_a"), F.coalesce("n_b", F.lit(0)).alias("n_b"))
     return both.where("n_a <> n_b")
+
+
+def crawl_integrity(manifest: DataFrame, pages: DataFrame, active: DataFrame, heading: str = r"(?m)^## ") -> DataFrame:
+    """(name, problems): what is wrong with each crawled work, and with works that are there though no manifest has them.
+
+    ``manifest``: name, sha256, chapters, status (published or quarantined);
+    ``pages``: name, content; ``active``: name, the works in use. Problems are
+    missing, hash, chapters, quarantined_but_active, published_but_inactive and
+    unlisted; a null hash or count is not checked, repeated names are one.
+    """
+    stored = pages.groupBy("name").agg(F.min(F.sha2(F.coalesce("content", F.lit("")), 256)).alias("found"), F.min(F.regexp_count(F.coalesce("content", F.lit("")), F.lit(heading))).alias("headings"), F.lit(True).alias("stored"))
+    listed = manifest.groupBy("name").agg(F.min("sha256").alias("sha256"), F.min("chapters").alias("chapters"), F.min("status").alias("status"), F.lit(True).alias("listed"))
+    used = active.select("name").distinct().withColumn("used", F.lit(True))
+    rows = listed.join(stored, "name", "full").join(used, "name", "full")
+    held = lambda c: F.coalesce(c, F.lit(False))
+    tests = {
+        "unlisted": ~held("listed"), "missing": held("listed") & ~held("stored"), "hash": held("stored") & (F.col("found") != F.col("sha256")), "chapters": held("stored") & (F.col("headings") != F.col("chapters")),
+        "quarantined_but_active": held("used") & (F.col("status") == "quarantined"), "published_but_inactive": ~held("used") & (F.col("status") == "published"),
+    }
+    return rows.select("name", F.array_join(F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()])), ",").alias("problems"))

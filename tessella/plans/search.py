@@ -10,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.operators import gate, search
+from tessella.operators import decision, gate, search
 from tessella.operators.neighbours import previous
 from tessella.operators.retrieval import top_k
-from tessella.plans.registry import query
+from tessella.plans.registry import SQL, query
 from tessella.plans.retrieval import ENTRIES, entries
 from tessella.session import materialize
+from tessella.sources.tables import load
 
 KINDS = ["formula_syndrome", "classical_clause", "classical_acupuncture", "herb_indication", "classical_theory", "classical_acupuncture_principle"]
 INTENTS = ["clinical_symptom", "herb_indication", "clinical_symptom", "classical_theory", "formula_knowledge", "unknown"]
@@ -149,3 +150,38 @@ def payload_overlap_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pairs(spark, sf_dir).where("source_priority > 0 and primary_count > 0")
     best = top_k(rows, ["query"], [F.desc("overlap"), F.desc("source_priority"), F.length("source").desc(), F.asc("key")], 10)
     return best.select("query", "key", F.col("overlap").alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+STATUS_SQL = "case status when 'grounded' then 'grounded_answer' else status end"
+
+
+def _message_sql(code: str) -> str:
+    return "case " + code + " " + " ".join(f"when '{k}' then '{v}'" for k, v in decision.REASONS.items()) + " else '' end"
+
+
+@query(f"""with sg as ({SQL["search_gate"]}), d as (select query, {STATUS_SQL} as status, case when status = 'grounded' and reasons = '' then '{decision.SATISFIED}' else reasons end as reasons, key from sg),
+named as (select d.*, coalesce(doc.source, '') as top_identity from d left join documents doc on doc.doc_id = d.key)
+select query, status, reasons, case status when 'grounded_answer' then 'answer' when 'clarify' then 'clarify' else 'refuse' end as policy, string_split(reasons, ',')[1] as primary_reason, {_message_sql("string_split(reasons, ',')[1]")} as message, cast(len(string_split(reasons, ',')) as int) as n_details, top_identity from named""")
+def decision_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole decision on every query: status, reasons with their messages, policy and what it is about."""
+    gated = materialize(search_gate(spark, sf_dir), "gated")
+    about = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "source")
+    rows = gated.join(about, "key", "left")
+    made = decision.envelope(F.col("status"), F.split("reasons", ","), {"top_identity": decision.identity({"formula": F.lit(""), "title": F.col("source")})})
+    return rows.select("query", made.alias("e")).select(
+        "query", "e.status", F.array_join("e.reasons", ",").alias("reasons"), F.col("e.response_policy").alias("policy"), F.col("e.rejection.primary_reason").alias("primary_reason"),
+        F.get("e.reason_details", F.lit(0))["message"].alias("message"), F.size("e.reason_details").alias("n_details"), "e.top_identity",
+    )
+
+
+@query(f"""with sg as ({SQL["search_gate"]}), c as (select query, status, key is not null as retrieved, query % 40 = 0 as translated, status = 'grounded' as gate, query % 60 <> 0 as ranked from sg)
+select query, case when retrieved and translated and gate and ranked then 'online' when retrieved and translated then 'replayed' else 'not_replayable' end as validation,
+  case when retrieved and translated and gate and ranked then true when retrieved and translated then status = 'clarify' else false end as ok,
+  array_to_string(list_filter([case when not gate then 'gate' end, case when not ranked then 'ranked' end, case when not retrieved then 'retrieved' end, case when not translated then 'translated' end], lambda x: x is not null), ',') as failed from c""")
+def gate_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which stored results stand, which the gate of today decides, and which cannot be replayed; a clarifying gate is what replays expect."""
+    gated = search_gate(spark, sf_dir)
+    outcomes = {"retrieved": F.col("key").isNotNull(), "translated": F.col("query") % 40 == 0, "gate": F.col("status") == "grounded", "ranked": F.col("query") % 60 != 0}
+    checks = F.create_map(*[x for name, c in outcomes.items() for x in (F.lit(name), c)])
+    made = decision.replayed(checks, F.col("status") == "clarify", list(outcomes), ["retrieved", "translated"], ["gate", "ranked"])
+    return gated.select("query", made.alias("r")).select("query", "r.validation", "r.ok", F.array_join("r.failed", ",").alias("failed"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions import hashing, markdown, negation, payload, text
+from tessella.functions import hashing, markdown, negation, noise, payload, text
 from tessella.operators import curation, matcher, profile, validation
 from tessella.operators.neighbours import previous
 from tessella.plans.dialogues import FLAT, PAIRS, qa
@@ -233,3 +233,54 @@ def refused_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = F.col("text").rlike(EMAIL)
     passed = curation.reject(docs.where(~bad), "text", EMAIL, "forbidden pattern").select("doc_id", F.contains("text", F.lit("\x00never")).alias("refused"))
     return passed.unionByName(docs.where(bad).select("doc_id", F.lit(True).alias("refused")))
+
+
+@query(r"""select doc_id, md5(regexp_replace(regexp_replace(coalesce(text, ''), '[.]{2,}', '', 'g'), '\n\s*-+[ -]*(\n|$)', '', 'g')) as text_md5, cast(len(regexp_extract_all(coalesce(text, ''), '[.]{2,}')) as int) as dots,
+  cast(len(regexp_extract_all(regexp_replace(coalesce(text, ''), '[.]{2,}', '', 'g'), '\n\s*-+[ -]*(\n|$)')) as int) as rules from documents""")
+def noise_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without runs of dots and ruled lines, and how many of each there were."""
+    bare, counts = noise.without(F.col("text"), {"dots": r"[.]{2,}", "rules": r"\n\s*-+[ -]*(\n|$)"})
+    return load(spark, sf_dir, "documents").select("doc_id", F.md5(bare).alias("text_md5"), counts["dots"].alias("dots"), counts["rules"].alias("rules"))
+
+
+@query(r"""with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents),
+k as (select *, regexp_replace(line, '^\s+|\s+$', '', 'g') as t from l), f as (select *, t = '' or regexp_matches(t, '^[#>A-Z]') as own from k), g as (select * from f where own or length(t) > 5 or regexp_matches(t, '\pL')),
+b as (select *, sum(cast(own or coalesce(prev, true) as int)) over (partition by doc_id order by i) as n from (select *, lag(own) over (partition by doc_id order by i) as prev from g)),
+j as (select doc_id, n, case when bool_or(own) then any_value(line) else string_agg(t, ' ' order by i) end as joined from b group by 1, 2)
+select doc_id, md5(regexp_replace(coalesce(string_agg(joined, chr(10) order by n), ''), '\n{3,}', chr(10) || chr(10), 'g')) as text_md5 from j group by 1""")
+def joined_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the lines joined that do not begin with a capital, a heading or a quotation."""
+    joined = noise.join_fragments(F.col("text"), "^[#>A-Z]", r"\pL", 5, " ")
+    return load(spark, sf_dir, "documents").select("doc_id", F.md5(joined).alias("text_md5"))
+
+
+@query(r"select doc_id, cast(len(s) as int) as n, md5(array_to_string(s, '|')) as sentences_md5 from (select doc_id, list_filter([regexp_replace(x, '^\s+|\s+$', '', 'g') for x in string_split_regex(coalesce(text, ''), '[.?!]')], lambda x: length(x) >= 8) as s from documents)")
+def split_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of every document, of eight characters or more."""
+    own = noise.sentences(F.col("text"), "[.?!]")
+    return load(spark, sf_dir, "documents").select("doc_id", own.alias("s")).select("doc_id", F.size("s").alias("n"), F.md5(F.array_join("s", "|")).alias("sentences_md5"))
+
+
+@query(r"""with recursive s as (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^.?!]*[.?!]|[^.?!]+', 0)) as s, generate_subscripts(regexp_extract_all(coalesce(text, ''), '[^.?!]*[.?!]|[^.?!]+', 0), 1) as i from documents),
+c as (select doc_id, i, unnest([substr(s, cast(k * 120 + 1 as int), 120) for k in range((length(s) + 119) // 120)]) as piece, unnest(range((length(s) + 119) // 120)) as k from s),
+p as (select doc_id, piece, row_number() over (partition by doc_id order by i, k) as i from c),
+fold(doc_id, i, part, open) as (select doc_id, i, 0, piece from p where i = 1 union all
+  select f.doc_id, p.i, case when length(open) + length(piece) <= 120 then part else part + 1 end, case when length(open) + length(piece) <= 120 then open || piece else piece end from fold f join p on p.doc_id = f.doc_id and p.i = f.i + 1)
+select doc_id, part, md5(max_by(open, i)) as part_md5 from fold group by 1, 2""")
+def packed_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of every document in parts of at most 120 characters."""
+    rows = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(noise.pack_sentences(F.col("text"), 120, ".?!")).alias("part", "t"))
+    return rows.select("doc_id", "part", F.md5("t").alias("part_md5"))
+
+
+@query("""with m as (select page_id as name, case when page_id % 7 = 0 then sha256('other') else sha256(coalesce(html, '')) end as sha, case when page_id % 11 = 0 then 1 else 0 end as chapters, case when page_id % 5 = 0 then 'quarantined' else 'published' end as status from pages where page_id % 13 <> 0),
+p as (select page_id as name, sha256(coalesce(html, '')) as found, len(regexp_extract_all(coalesce(html, ''), '(?m)^## ')) as headings from pages where page_id % 17 <> 0), u as (select page_id as name from pages where page_id % 3 <> 0)
+select name, concat_ws(',', case when m.sha is null then 'unlisted' end, case when m.sha is not null and found is null then 'missing' end, case when found <> sha then 'hash' end, case when headings <> chapters then 'chapters' end,
+  case when u.used and status = 'quarantined' then 'quarantined_but_active' end, case when u.used is null and status = 'published' then 'published_but_inactive' end) as problems
+from m full join p using (name) full join (select name, true as used from u) u using (name)""")
+def crawl_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages against a manifest with wrong hashes, wrong chapter counts, gaps, and works in the wrong place."""
+    pages = load(spark, sf_dir, "pages").select(F.col("page_id").alias("name"), F.col("html").alias("content"))
+    n, sha = F.col("name"), F.sha2(F.coalesce("content", F.lit("")), 256)
+    manifest = pages.where(n % 13 != 0).select("name", F.when(n % 7 == 0, F.sha2(F.lit("other"), 256)).otherwise(sha).alias("sha256"), (n % 11 == 0).cast("int").alias("chapters"), F.when(n % 5 == 0, "quarantined").otherwise("published").alias("status"))
+    return profile.crawl_integrity(manifest, pages.where(n % 17 != 0), pages.where(n % 3 != 0).select("name"))
