@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text
-from tessella.operators import examples, groups, lines, recursive, rewrite, seeds, translate
+from tessella.operators import examples, groups, lines, phrases, recursive, rewrite, seeds, translate
 from tessella.plans.registry import query
 from tessella.plans.retrieval import ENTRIES, TOK, entries, entry_terms
 from tessella.session import materialize, scratch_path
@@ -51,6 +51,8 @@ select doc_id, cast(b - 1 as int) as block, cast(min(no) as int) as line, min_by
   md5(coalesce(string_agg(line, ' ' order by no) filter (where not opens), '')) as body_md5
 from placed where b > 0 group by doc_id, b
 """
+#: Pieces of benchmark texts between stops and the languages' words for "and" and "or", without numbers.
+PIECES = phrases.PhraseRules(cuts=r"[,;:.!?\n]| (?:and|und|et|y|or|oder|ou|o) ", rejects=("[0-9]",), stop=("etc",), most=40)
 DOUBLED = [("..", "."), ("  ", " "), ("de de", "de"), ("the the", "the"), ("die die", "die"), ("la la", "la")]
 STYLES = {"plain": 2, "typos": 1, "several": 1}
 
@@ -204,3 +206,15 @@ def seed_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = seeds.dealt_styles(docs, ["source", "lang"], "doc_id", STYLES)
     after = F.lead("text").over(Window.partitionBy("source").orderBy("lang", F.sha2(F.concat(F.lit("style|"), F.col("doc_id").cast("string")), 256), "doc_id"))
     return seeds.check_seeds(dealt.select("style", "source", "concept", after.alias("answer"), F.col("text").alias("question"), F.col("doc_id").alias("key")), dict.fromkeys(STYLES, 100))
+
+
+@query(rf"""with {ENTRIES}, cat as (select distinct term from ranked), b as (select item_id, lower(coalesce(text, '')) as t from benchmark),
+cut as (select item_id, regexp_replace(unnest(string_split_regex(t, '{PIECES.cuts}')), '^\s+|\s+$', '', 'g') as piece, generate_subscripts(string_split_regex(t, '{PIECES.cuts}'), 1) as i from b),
+good as (select * from cut where length(piece) between 2 and 40 and not regexp_matches(piece, '[0-9]') and piece <> 'etc' and not exists (select 1 from cat where contains(piece, term) and term <> piece)),
+found as (select item_id, term as phrase, 0 as o from b join cat on contains(t, term) union all select item_id, piece, i from good),
+firsts as (select item_id, phrase, min(o) as o from found group by 1, 2)
+select item_id, cast(count(phrase) as int) as n, md5(coalesce(string_agg(phrase, '|' order by o, phrase), '')) as phrases_md5 from b left join firsts using (item_id) group by 1""")
+def benchmark_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalogue terms in every benchmark text, and the pieces between stops that hold none."""
+    found = phrases.split_phrases(load(spark, sf_dir, "benchmark"), "item_id", F.lower("text"), entry_terms(spark, sf_dir).select("term", F.lit(0).alias("place")), PIECES)
+    return found.select(F.col("key").alias("item_id"), F.size("phrases").alias("n"), F.md5(F.array_join("phrases", "|")).alias("phrases_md5"))
