@@ -18,7 +18,8 @@ As an option, a corpus has kinds of documents (``kind``: a column of few
 values, such as a language): the model then learns one lattice for each kind
 that training has, and a document's probability is the mixture over kinds,
 weighed by their shares in training. When a document is scored its own kind is
-not looked at. There is no limit on kinds but the columns they take.
+not looked at. Of more than ``KINDS`` kinds the commonest keep their own lattice, and
+all others share one.
 
 Beside that stands a base: counts of whole words, smoothed by 0.1.
 
@@ -49,6 +50,8 @@ MARK = "▁"
 SHARE = 4e-6
 SMOOTH = 0.1
 ROUNDS = 2
+#: Kinds of documents that get a lattice of their own.
+KINDS = 16
 DISCOUNT = 0.75
 #: Characters beyond which a word is walked by itself.
 LONG = 2000
@@ -401,14 +404,19 @@ def _numbers(kinds: int) -> list[str]:
 
 
 def kinds_of(docs: DataFrame, train: str, kind: str | None) -> tuple[DataFrame, int]:
-    """``docs`` with ``k``, the number of its kind among those of training rows (-1: not for training)."""
+    """``docs`` with ``k``, the number of its kind among those of training rows (-1: not for training).
+
+    At most ``KINDS`` kinds: of more, the commonest stand for themselves and all others are one.
+    """
     if kind is None:
         return docs.withColumn("k", F.when(F.col(train), 0).otherwise(-1)), 1
-    found = docs.where(F.col(train)).select(F.col(kind).cast("string").alias("kind")).distinct().orderBy("kind").collect()
-    k = F.lit(0)
+    counted = docs.where(F.col(train)).groupBy(F.col(kind).cast("string").alias("kind")).count().orderBy(F.desc("count"), "kind").limit(KINDS + 1).collect()
+    more = len(counted) > KINDS
+    found = sorted(counted[: KINDS - 1] if more else counted, key=lambda r: (r.kind is not None, r.kind or ""))
+    k = F.lit(len(found) if more else 0)
     for i, r in enumerate(found):
         k = F.when(F.col(kind).cast("string").eqNullSafe(F.lit(r.kind)), i).otherwise(k)
-    return docs.withColumn("k", F.when(F.col(train), k).otherwise(-1)), max(1, len(found))
+    return docs.withColumn("k", F.when(F.col(train), k).otherwise(-1)), max(1, len(found) + more)
 
 
 def score_documents(docs: DataFrame, train: str, pieces: list[str], kind: str | None = None, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, share: float = SHARE) -> DataFrame:

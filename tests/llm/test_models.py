@@ -209,3 +209,16 @@ def test_bag_of_a_long_text_in_blocks(monkeypatch):
     monkeypatch.setattr(toxicity, "BLOCK", 10**9)
     whole_at, whole_share = toxicity.bag(text)
     assert abs(share.sum() - whole_share.sum()) < 1e-3 and len(set(at) ^ set(whole_at)) < 50
+
+
+def test_kinds_are_bounded(spark):
+    """Of many kinds the commonest keep their own number, all others share the last."""
+    rows = [(f"k{i:02d}", True) for i in range(40) for _ in range(1 + (i % 20 == 3) * 5)] + [("only held out", False), (None, True), (None, True)]
+    frame = spark.createDataFrame(rows, "lang string, train boolean")
+    marked, kinds = lm.kinds_of(frame, "train", "lang")
+    got = {(r.lang, r.k) for r in marked.collect()}
+    assert kinds == lm.KINDS and {k for _, k in got} == {-1, *range(lm.KINDS)}
+    assert len({k for x, k in got if x in (None, "k03", "k23")}) == 3 and len([x for x, k in got if k == lm.KINDS - 1]) == 41 - (lm.KINDS - 1)
+    few, n = lm.kinds_of(frame.where("lang < 'k03'"), "train", "lang")
+    assert n == 3 and {(r.lang, r.k) for r in few.collect()} == {("k00", 0), ("k01", 1), ("k02", 2)}
+    assert lm.kinds_of(frame.limit(0), "train", "lang")[1] == 1
