@@ -284,3 +284,15 @@ def crawl_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, sha = F.col("name"), F.sha2(F.coalesce("content", F.lit("")), 256)
     manifest = pages.where(n % 13 != 0).select("name", F.when(n % 7 == 0, F.sha2(F.lit("other"), 256)).otherwise(sha).alias("sha256"), (n % 11 == 0).cast("int").alias("chapters"), F.when(n % 5 == 0, "quarantined").otherwise("published").alias("status"))
     return profile.crawl_integrity(manifest, pages.where(n % 17 != 0), pages.where(n % 3 != 0).select("name"))
+
+
+ARTICLES = matcher.Context(after=(",",), before=("the ", "der ", "de ", "la "), refused=("of the ", "in der ", "de la "))
+
+
+@query(f"""with {HITS_SQL}, c as (select *, left(t, cast(pos - 1 as int)) as before, substr(t, cast(pos as int) + length(term)) as after from hits)
+select conv_id, turn, term, cast(pos as int) as start from c
+where starts_with(after, ',') or (({" or ".join(f"ends_with(before, '{b}')" for b in ARTICLES.before)}) and not ({" or ".join(f"ends_with(before, '{r}')" for r in ARTICLES.refused)}))""")
+def mentions_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalogue terms in turns, anywhere, that a comma follows or an article precedes, unless a preposition stands before it."""
+    turns = load(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("key"), F.lower(F.coalesce("text", F.lit(""))).alias("t"))
+    return matcher.find_terms(turns, "key", F.col("t"), entry_terms(spark, sf_dir), "all", ARTICLES).select("key.conv_id", "key.turn", "term", "start")
