@@ -12,7 +12,7 @@ from tessella.plans.retrieval import ENTRIES, TOK, entries, entry_terms
 from tessella.session import materialize, scratch_path
 from tessella.sources.files import write_sinks
 from tessella.sources.tables import load, load_stream
-from tessella.streaming import cache
+from tessella.streaming import cache, events, state
 
 #: Statements in documents: a text's last sentence, its parts between commas, alternatives by the languages' words for "or".
 SENTENCES = groups.Grammar(
@@ -175,11 +175,34 @@ def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 select user_id as key, event_id as event, event_type as name, last is not null and (select count(distinct x.event_type) from e x where x.user_id = p.user_id and x.i > p.last and x.i < p.i) < 2 as hit from p""")
 def events_lru(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which events find their type among the two their user used last: a stream over the table, run to its end."""
-    stream = cache.lru(load_stream(spark, sf_dir, "events"), "user_id", "event_type", 2)
-    out = scratch_path(spark, "lru")
-    running = stream.select("key", "event", "name", "hit").writeStream.format("parquet").option("checkpointLocation", scratch_path(spark, "lru-state")).trigger(availableNow=True).start(out)
-    running.awaitTermination()
-    return spark.read.schema("key long, event long, name string, hit boolean").parquet(out)
+    return _finished(cache.lru(load_stream(spark, sf_dir, "events"), "user_id", "event_type", 2).select("key", "event", "name", "hit"), "lru")
+
+
+def _finished(stream: DataFrame, name: str) -> DataFrame:
+    """What a stream gives once it has read all there is: its appended rows as a table."""
+    spark = stream.sparkSession
+    out = scratch_path(spark, name)
+    stream.writeStream.format("parquet").option("checkpointLocation", scratch_path(spark, f"{name}-state")).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+@query("select user_id as key, event_id as event, row_number() over (partition by user_id order by ts, event_id) as n, row_number() over (partition by user_id order by ts, event_id) <= 20 as allowed from events")
+def events_budget_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events by number, and whether they are within a budget of 20: as a stream with one number of state a user."""
+    return _finished(state.budget(load_stream(spark, sf_dir, "events"), "user_id", 20), "budget")
+
+
+@query("select user_id as key, event_id as event, coalesce(sum(cast(value < 50 as int)) over (partition by user_id order by ts, event_id rows between 3 preceding and 1 preceding), 0) = 3 as open from events")
+def events_breaker_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a user's last three events all fell below 50: as a stream."""
+    return _finished(state.breaker(load_stream(spark, sf_dir, "events"), "user_id", F.col("value") < 50), "breaker")
+
+
+@query("select distinct user_id, event_type from events")
+def events_dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users and what they did, once each, by the state that a watermark bounds."""
+    rows = load_stream(spark, sf_dir, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    return _finished(events.dedup(rows, ["user_id", "event_type"]).select("user_id", "event_type"), "dedup")
 
 
 @query("select coalesce(lang, '') as sink, count(*) as total, least(count(*), 50) as written, count(*) > 50 as truncated from documents where lang in ('en', 'fr', 'de') group by 1 union all select 'other', count(*), 0, false from documents where lang is null or lang not in ('en', 'fr', 'de')")
