@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tessella.functions import text
 from tessella.operators import dedup
 from tessella.plans.catalog import QUERIES
 
@@ -83,3 +84,23 @@ def test_near_copies_are_found_in_documents(spark):
             kept.add(i)
     assert {r.doc_id for r in QUERIES["greedy_near_dup_keep"](spark, SF).where("kept").collect()} == kept
     assert {r.doc_id: r.component for r in QUERIES["near_dup_components"](spark, SF).collect()} == components(keys, links)
+
+
+def test_a_key_is_computed_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def key(text):
+        calls.add(1)
+        return text
+
+    rows = spark.createDataFrame([(i, "abc"[i % 3] * (i % 7)) for i in range(200)], "id long, t string").repartition(4)
+    nodes, members = dedup.distinct_keys(rows.select("id", key("t").alias("k")), "id", "k")
+    assert (nodes.count(), members.count()) == (18, len([i for i in range(200) if i % 7]))
+    assert calls.value == 200
+
+
+def test_dedupe_key_keeps_runs_of_letters_digits_and_cjk(spark):
+    texts = [None, "", " ", "A-b_C 1", "stra\u00dfe \ufb01x \u212a", "\u4e2d\u6587, \u3400\u9fff!", "\u00e9t\u00e9\n\U0001d400 x"]
+    got = [r.k for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", text.dedupe_key(F.col("t")).alias("k")).orderBy("i").collect()]
+    assert got == ["", "", "", "abc1", "strassefixk", "\u4e2d\u6587\u3400\u9fff", "tx"]
