@@ -86,6 +86,17 @@ def test_near_copies_are_found_in_documents(spark):
     assert {r.doc_id: r.component for r in QUERIES["near_dup_components"](spark, SF).collect()} == components(keys, links)
 
 
+def test_unlike_sets_that_share_a_part_are_no_candidates(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(60)]
+    keys = {i: "".join(rng.choice(words) for _ in range(120)) for i in range(150)}
+    keys |= {1000 + i: keys[i] + "0" for i in range(5)}
+    nodes, _ = dedup.distinct_keys(spark.createDataFrame(list(keys.items()), "id long, k string"), "id", "k")
+    _, buckets = dedup._buckets(nodes, 0.93)
+    found, want = {(r.a, r.b) for r in dedup._bucket_pairs(buckets, 0.93).collect()}, brute(keys)
+    assert len(want) >= 5 and want <= found and len(found) <= 2 * len(want)
+
+
 def test_a_key_is_computed_once(spark):
     calls = spark.sparkContext.accumulator(0)
 
