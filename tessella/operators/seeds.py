@@ -27,31 +27,40 @@ def too_similar(a: Column, b: Column) -> Column:
     return (shared >= LEAST) & ((shared / size >= SIMILAR) | (shared / F.least(F.size(a), F.size(b)) >= CONTAINED))
 
 
-def _postings(rows: DataFrame, rank: DataFrame, short: bool) -> DataFrame:
-    """(key, signature, term): every term of every set, or of its rarest terms as many as an overlap cannot miss."""
-    each = rows.select("key", "signature", F.explode("signature").alias("term"))
-    if not short:
-        return each
-    # The terms of a set are bounded by its text; rare ones first.
-    ranked = each.join(rank, "term").groupBy("key", "signature").agg(F.array_sort(F.collect_list(F.struct("n", "term"))).alias("t"))
+def _coded(rows: DataFrame, rank: DataFrame) -> DataFrame:
+    """(row, signature): every set as the numbers of its terms, the rarest first."""
+    each = rows.select("row", F.explode("signature").alias("term")).join(rank, "term")
+    # The terms of a set are bounded by its text.
+    return each.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("n", "code"))).alias("t")).select("row", F.col("t.code").alias("signature"))
+
+
+def _postings(coded: DataFrame, short: bool) -> DataFrame:
+    """(row, signature, code): every term of every set, or of its rarest terms as many as an overlap cannot miss."""
     size = F.size("signature")
     # A similarity of SIMILAR implies an overlap of that share of the smaller set too; the lesser bound counts.
     keep = size - F.ceil(F.lit(min(SIMILAR, CONTAINED)) * size).cast("int") + 1
-    return ranked.select("key", "signature", F.explode(F.slice(F.col("t.term"), F.lit(1), keep)).alias("term"))
+    return coded.select("row", "signature", F.explode(F.slice("signature", F.lit(1), keep) if short else F.col("signature")).alias("code"))
 
 
 def unlike(seeds: DataFrame, used: DataFrame, key: str, signature: str) -> DataFrame:
-    """The seeds that are too similar to none of ``used``; null and empty signatures are similar to nothing, rows that repeat a key stay or go together."""
+    """The seeds that are too similar to none of ``used``; null and empty signatures are similar to nothing, rows that repeat a key stay or go together.
+
+    A set stands at each of its terms, so a table that is small as a file is
+    large in memory: sets go as numbers, and postings are merged, never broadcast.
+    """
     clean = lambda rows: rows.select(F.col(key).alias("key"), F.array_distinct(F.array_compact(F.col(signature))).alias("signature")).where(F.size("signature") >= LEAST)
-    own, old = materialize(clean(seeds), "seeds"), materialize(clean(used).select("signature").distinct().withColumn("key", F.lit(0)), "used")
-    rank = materialize(own.select("signature").unionByName(old.select("signature")).select(F.explode("signature").alias("term")).groupBy("term").agg(F.count("*").alias("n")), "rank")
+    named = lambda rows, name: materialize(rows.withColumn("row", F.monotonically_increasing_id()), name)
+    own, old = named(clean(seeds), "seeds"), named(clean(used).select("signature").distinct(), "used")
+    counts = own.select("signature").unionByName(old.select("signature")).select(F.explode("signature").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    rank = materialize(counts.withColumn("code", F.monotonically_increasing_id()), "rank").hint("merge")
+    mine, theirs = materialize(_coded(own, rank), "coded"), materialize(_coded(old, rank), "coded")
     found = None
     for short in (True, False):
-        left = _postings(own, rank, short)
-        right = _postings(old, rank, not short).select(F.col("signature").alias("old"), F.col("term").alias("old_term"))
-        hit = left.join(right, (F.col("term") == F.col("old_term")) & too_similar(F.col("signature"), F.col("old")), "left_semi").select("key")
+        right = _postings(theirs, not short).select(F.col("signature").alias("old"), F.col("code").alias("old_code"))
+        hit = _postings(mine, short).join(right.hint("merge"), (F.col("code") == F.col("old_code")) & too_similar(F.col("signature"), F.col("old")), "left_semi").select("row")
         found = hit if found is None else found.unionByName(hit)
-    return seeds.join(found.distinct().withColumnRenamed("key", key), key, "left_anti")
+    gone = own.join(found.distinct(), "row", "left_semi").select(F.col("key").alias(key)).distinct()
+    return seeds.join(gone, key, "left_anti")
 
 
 def balanced(rows: DataFrame, source: str, direction: str, quality: str, key: str, quota: int, salt: str = "balance") -> DataFrame:

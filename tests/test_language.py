@@ -130,6 +130,13 @@ def test_unlike_seeds(spark):
     assert got == {i for i, s in rows if not any(near(set(s or []), set(u)) for u in used)} and 1000 not in got and 1001 not in got
 
 
+def test_postings_of_seeds_are_never_broadcast(spark):
+    rows = spark.createDataFrame([(i, [f"w{i % 50}", f"w{i % 7}", f"x{i}"]) for i in range(500)], "id long, s array<string>")
+    got = seeds.unlike(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), "id", "s")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan and not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "LeftSemi" in x and "old" in x]
+
+
 def test_balance_and_styles(spark):
     rng = random.Random(1)
     rows = [(i, rng.choice("ab"), rng.choice("pqrst"[: 3 + i % 3]), rng.randint(0, 9)) for i in range(400)] + [(1000 + i, "c", "p", i) for i in range(5)]
