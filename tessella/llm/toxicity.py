@@ -142,12 +142,20 @@ def train(texts: list[str | None], labels: list[int], of: list[float] | None = N
     if len(set(labels)) < 2:
         share = float(y.mean()) if len(y) else 0.0
         return Model(np.zeros(BUCKETS), 50.0 if share else -50.0)
-    bags = [bag(t) for t in texts]
+    return train_bags([bag(t) for t in texts], labels, of, dim, steps, rate, seed)
+
+
+def train_bags(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], of: list[float] | None = None, dim: int = DIM, steps: int = STEPS, rate: float = RATE, seed: int = 1) -> Model:
+    """As ``train``, on the bags of the texts; ``bags`` is thinned in place, so that no second copy of them is held."""
+    y = np.array(labels, dtype=np.int64)
+    if len(set(labels)) < 2:
+        return train([], labels)
     seen = np.zeros(BUCKETS, dtype=np.int32)
     for at, _ in bags:
         seen[at] += 1
     few = seen < min(MIN_TEXTS, len(y))
-    bags = [(at[~few[at]], share[~few[at]]) for at, share in bags]
+    for k, (at, share) in enumerate(bags):
+        bags[k] = at[~few[at]], share[~few[at]]
     model = _descend(bags, y, np.arange(len(y)), dim, steps, rate, seed)
     if np.bincount(y).min() < FOLDS:
         return model
@@ -293,13 +301,15 @@ def sample(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int =
 
 def _trainer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Trains on all rows of its one partition, the bounded sample."""
-    texts: list[str] = []
+    bags: list[tuple[np.ndarray, np.ndarray]] = []
     marks: list[int] = []
     of: list[float] = []
     for batch in batches:
-        for held, column in zip((texts, marks, of), batch.columns):
-            held += column.to_pylist()
-    model = train(texts, marks, of)
+        # Bags are made as texts come: a text is not held once it has been read.
+        bags += [bag(t.as_py()) for t in batch.column(0)]
+        marks += batch.column(1).to_pylist()
+        of += batch.column(2).to_pylist()
+    model = train_bags(bags, marks, of)
     yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype("<f4").tobytes()], pa.binary()), pa.array([model.constant])], names=["weights", "constant"])
 
 

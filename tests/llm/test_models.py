@@ -222,3 +222,16 @@ def test_kinds_are_bounded(spark):
     few, n = lm.kinds_of(frame.where("lang < 'k03'"), "train", "lang")
     assert n == 3 and {(r.lang, r.k) for r in few.collect()} == {("k00", 0), ("k01", 1), ("k02", 2)}
     assert lm.kinds_of(frame.limit(0), "train", "lang")[1] == 1
+
+
+def test_trainer_holds_one_copy_of_the_bags():
+    """Bags are made as batches come and thinned in place; the model is that of the texts."""
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choice(words[: 200 + 200 * (i % 2)], 60)) for i in range(80)]
+    marks = [i % 2 for i in range(80)]
+    bags = [toxicity.bag(t) for t in texts]
+    before = sum(len(at) for at, _ in bags)
+    want, got = toxicity.train(texts, marks, steps=20), toxicity.train_bags(bags, marks, steps=20)
+    assert np.array_equal(want.weights, got.weights) and want.constant == got.constant
+    assert sum(len(at) for at, _ in bags) < before
